@@ -15,6 +15,7 @@ def local_session(cores: str | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("estate")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.bindAddress", "127.0.0.1")

@@ -1,5 +1,5 @@
 """Registered queries: each operator on inputs derived from the given tables."""
 
-from estate_queries import storage
+from estate_queries import querylog, roles, storage
 
-MODULES = (storage,)
+MODULES = (storage, querylog, roles)

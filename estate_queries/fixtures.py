@@ -444,4 +444,4 @@ def with_fx(names: str, body: str) -> str:
     for item in names.split():
         add(item)
     ctes = ",\n".join(f"{item} AS ({FX[item].strip()})" for item in ordered)
-    return f"WITH RECURSIVE {ctes}\n{body.strip()}" if ordered else body.strip()
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
