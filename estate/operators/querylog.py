@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estate.functions import text as T
+from estate.functions.times import at, seconds_between
 from estate.plans.shapes import top_k
 
 # States of a query log, compared in lower case.
@@ -67,14 +68,6 @@ def normalise_log(df: DataFrame) -> DataFrame:
     )
 
 
-def clock(as_of: datetime) -> Column:
-    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start.cast("timestamp_ntz"), end)
-
-
 def is_live(df: DataFrame) -> Column:
     """Running or queued; without a status column, a row with no end is live."""
     if "status" in df.columns:
@@ -86,7 +79,7 @@ def is_live(df: DataFrame) -> Column:
 
 def with_elapsed(log: DataFrame, as_of: datetime) -> DataFrame:
     """Add ``is_live`` and ``elapsed_s``."""
-    start, now = F.col("start_time"), clock(as_of)
+    start, now = F.col("start_time"), at(as_of)
     ends = seconds_between(start, F.coalesce("end_time", now)) if "end_time" in log.columns else (
         seconds_between(start, now)
     )
@@ -104,7 +97,7 @@ def _newest_first(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 def triage_filter(log: DataFrame, as_of: datetime, min_s: int = 60, hours: float = 6) -> DataFrame:
     """Rows worth a look: slow and live or recent, or failed and recent."""
     timed = with_elapsed(log, as_of)
-    recent = F.col("start_time") >= clock(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours).cast("int"))
+    recent = F.col("start_time") >= at(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours).cast("int"))
     failed = F.coalesce(F.lower("status").isin(*FAILED_STATES), F.lit(False))
     slow = F.col("elapsed_s") >= min_s
     return timed.where((slow & (F.col("is_live") | recent)) | (failed & recent))
@@ -133,7 +126,7 @@ def activity_snapshot(
     )
     if own_session is not None:
         busy = busy.where(F.col("session_id") != own_session)
-    spent = seconds_between(F.col("start_time"), clock(as_of)).cast("bigint")
+    spent = seconds_between(F.col("start_time"), at(as_of)).cast("bigint")
     timed = busy.withColumn("elapsed_s", spent).where(F.col("elapsed_s") >= min_s)
     return top_k(timed, ["target"], [F.col("elapsed_s").desc(), F.col("session_id")], n).select(
         "target", "rank", "session_id", "user_name", "state", "elapsed_s",

@@ -1,5 +1,5 @@
 """Registered queries: each operator on inputs derived from the given tables."""
 
-from estate_queries import querylog, roles, storage
+from estate_queries import orphans, querylog, roles, storage
 
-MODULES = (storage, querylog, roles)
+MODULES = (storage, querylog, roles, orphans)

@@ -124,8 +124,8 @@ def _handover(spark, d):
     member = X.table(spark, d, "customer").select(
         X.name("wh", F.col("c_custkey") % 3).alias("target"), X.name("c", "c_custkey").alias("owner"),
         X.name("g", "c_nationkey").alias("group_name"))
-    defaults = X.table(spark, d, "nation").where("n_nationkey < 2").select(
-        X.name("wh", "n_nationkey").alias("target"), F.lower("n_name").alias("new_owner"))
+    defaults = X.table(spark, d, "nation").select(
+        X.name("wh", F.col("n_nationkey") + 1).alias("target"), F.lower("n_name").alias("new_owner"))
     return N.handover_plan(leavers, X.namespaces(spark, d), X.relations(spark, d), member, defaults)
 
 
@@ -284,7 +284,7 @@ owned AS (
 SELECT o.target, name, phase, CASE WHEN n_name IS NULL THEN 'error' ELSE 'reassign' END AS action,
        CASE WHEN n_name IS NULL THEN concat('no new owner for ', object)
             ELSE concat('ALTER ', object, ' OWNER TO "', lower(n_name), '";') END AS statement
-FROM owned o LEFT JOIN nation ON n_nationkey < 2 AND o.target = concat('wh', CAST(n_nationkey AS VARCHAR))
+FROM owned o LEFT JOIN nation ON o.target = concat('wh', CAST(n_nationkey + 1 AS VARCHAR))
 UNION ALL
 SELECT target, name, 3, 'leave', concat('ALTER GROUP "g', CAST(c_nationkey AS VARCHAR), '" DROP USER "', name, '";')
 FROM leavers JOIN customer ON name = concat('c', CAST(c_custkey AS VARCHAR)) AND target = concat('wh', CAST(c_custkey % 3 AS VARCHAR))
