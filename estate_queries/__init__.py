@@ -1,5 +1,5 @@
 """Registered queries: each operator on inputs derived from the given tables."""
 
-from estate_queries import describe, orphans, querylog, roles, storage
+from estate_queries import describe, grants, orphans, querylog, roles, storage
 
-MODULES = (storage, querylog, roles, orphans, describe)
+MODULES = (storage, querylog, roles, orphans, describe, grants)
