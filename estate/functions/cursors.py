@@ -26,16 +26,12 @@ def cursor_date(col: Column | str) -> Column:
 
 def _week_date(raw: Column) -> Column:
     """Date of a year-week-day text: week 1 is the week of 4 January."""
-    year = F.nullif(F.regexp_extract(raw, _WEEKLY, 1), F.lit("")).cast("int")
-    week = F.nullif(F.regexp_extract(raw, _WEEKLY, 2), F.lit("")).cast("int")
-    weekday = F.coalesce(
-        F.nullif(F.regexp_extract(raw, _WEEKLY, 4), F.lit("")).cast("int"), F.lit(1)
-    )
-    fourth = F.make_date(year, F.lit(1), F.lit(4))
-    monday = F.date_sub(fourth, F.weekday(fourth))
-    last_week = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
-    day = F.date_add(monday, (week - 1) * 7 + weekday - 1)
-    return F.when(week.between(1, last_week) & (year > 0), day)
+    part = lambda i: F.nullif(F.regexp_extract(raw, _WEEKLY, i), F.lit(""))
+    first = F.trunc(F.try_to_date(F.concat(part(1), F.lit("-01-04")), "yyyy-MM-dd"), "week")
+    week = part(2).cast("int")
+    weekday = F.coalesce(part(4).cast("int"), F.lit(1))
+    day = F.date_add(first, week * 7 + weekday - 8)
+    return F.when(F.weekofyear(day) == week, day)
 
 
 def classify_cursor(value: Column | str, state_type: Column | None = None) -> Column:
