@@ -17,20 +17,24 @@ _WEEKLY = rf"^{_WEEK}([Tt ]{_TIME})?$"
 
 
 def cursor_date(col: Column | str) -> Column:
-    """Calendar date of an ISO date or datetime string, NULL for anything else."""
+    """Calendar date of an ISO date or datetime string, NULL for anything else.
+
+    Texts that do not start like a year are settled first, and the rare week
+    dates are only tried where a ``W`` follows the year.
+    """
     raw = F.trim(col)
     digits = F.replace(F.regexp_extract(raw, _DATED, 1), F.lit("-"), F.lit(""))
-    day = F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd")
-    return F.coalesce(day, _week_date(raw))
+    weekly = F.contains(F.substring(raw, 5, 2), F.lit("W"))
+    return F.when(raw.rlike("^[0-9]{4}"), F.when(weekly, _week_date(raw)).otherwise(
+        F.try_to_date(digits, "yyyyMMdd")))
 
 
 def _week_date(raw: Column) -> Column:
     """Date of a year-week-day text: week 1 is the week of 4 January."""
-    part = lambda i: F.nullif(F.regexp_extract(raw, _WEEKLY, i), F.lit(""))
+    part = lambda i: F.regexp_extract(raw, _WEEKLY, i)
     first = F.trunc(F.try_to_date(F.concat(part(1), F.lit("-01-04")), "yyyy-MM-dd"), "week")
-    week = part(2).cast("int")
-    weekday = F.coalesce(part(4).cast("int"), F.lit(1))
-    day = F.date_add(first, week * 7 + weekday - 8)
+    week = part(2).try_cast("int")
+    day = F.date_add(first, week * 7 + F.coalesce(part(4).try_cast("int"), F.lit(1)) - 8)
     return F.when(F.weekofyear(day) == week, day)
 
 

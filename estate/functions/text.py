@@ -19,7 +19,8 @@ CHANGE_WORDS = ("insert", "update", "delete", "merge")
 
 
 def fold_space(col: Column | str) -> Column:
-    return F.regexp_replace(col, r"\s+", " ")
+    """Every run of white space becomes one space; single spaces need no change."""
+    return F.regexp_replace(col, r"\s{2,}|[^\S ]", " ")
 
 
 def fold_sql(col: Column | str, width: int = 180) -> Column:

@@ -70,37 +70,37 @@ def schema_quota(roster: DataFrame, quotas: DataFrame) -> DataFrame:
     return roster.join(parsed, ["target", "schema_name"], "left").withColumn("used_share", share)
 
 
-def expand_tokens(tokens: Column) -> tuple[Column, Column]:
-    """Privileges named by an array of tokens, in order, and the unknown tokens."""
-    clean = F.filter(F.transform(tokens, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+def _named_by(privilege: str) -> tuple[str, ...]:
+    """Tokens that ask for a privilege: itself and the presets that hold it."""
+    return (privilege, *[preset for preset, held in PRESETS.items() if privilege in held])
 
-    def meaning(token: Column) -> Column:
-        preset = F.when(token == "read", F.array(*map(F.lit, PRESETS["read"]))).when(
-            token == "readwrite", F.array(*map(F.lit, PRESETS["readwrite"]))
-        )
-        return preset.otherwise(F.array(token))
 
-    named = F.flatten(F.transform(clean, meaning))
-    vocabulary = F.array(*map(F.lit, PRIVILEGE_ORDER))
-    implied = F.when(
-        F.arrays_overlap(named, F.array(*map(F.lit, _NEEDS_USAGE))), F.array(F.lit("usage"))
-    ).otherwise(F.array().cast("array<string>"))
-    full = F.concat(named, implied)
-    ordered = F.filter(vocabulary, lambda p: F.array_contains(full, p))
-    return ordered, F.array_except(named, vocabulary)
+def _asks_for(tokens: str, privilege: str) -> Column:
+    """Whether the tokens name the privilege; usage is implied by every object privilege."""
+    names = _named_by(privilege)
+    if privilege == "usage":
+        names = (*names, *_NEEDS_USAGE)
+    return F.arrays_overlap(F.col(tokens), F.array(*map(F.lit, names)))
 
 
 def expand_privileges(requests: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Presets expanded, usage implied, repeats dropped, canonical order, unknowns apart.
 
-    ``tokens`` is a comma list. Works row by row: no join, no shuffle.
+    ``tokens`` is a comma list. Works row by row on built-in array functions that
+    compile into the stage: no join, no shuffle, no interpreted lambda.
     """
-    named, unknown = expand_tokens(F.split(tokens, ","))
+    named = F.array_compact(F.array(*[
+        F.when(_asks_for("_tokens", p), F.lit(p)) for p in PRIVILEGE_ORDER
+    ]))
+    known = F.array(*map(F.lit, (*PRIVILEGE_ORDER, *PRESETS, "")))
     status = F.when(F.size("unknown") > 0, F.lit("unknown_privilege")).when(
         F.size("privileges") == 0, F.lit("no_privilege")
     )
-    return requests.withColumns({"privileges": named, "unknown": unknown}).withColumn(
-        "status", status.otherwise(F.lit("ok"))
+    return (
+        requests.withColumn("_tokens", F.split(F.lower(F.trim(tokens)), r"\s*,\s*"))
+        .withColumns({"privileges": named, "unknown": F.array_except("_tokens", known)})
+        .withColumn("status", status.otherwise(F.lit("ok")))
+        .drop("_tokens")
     )
 
 

@@ -56,13 +56,10 @@ def _streams(
 ) -> DataFrame:
     """Streams with their parsed cells and what would happen to them.
 
-    State that is not a JSON object belongs to no stream and is left out.
+    State that is not a JSON object has no cells and yields nothing later on.
     """
     parsed = F.try_variant_get(F.try_parse_json("state"), "$", "map<string,variant>")
-    rows = (
-        state.select(*_KEYS, F.transform(F.map_entries(parsed), _cell).alias("_cells"))
-        .where(F.col("_cells").isNotNull())
-    )
+    rows = state.select(*_KEYS, F.transform(F.map_entries(parsed), _cell).alias("_cells"))
     named = lambda key: F.get(
         F.filter("_cells", lambda c: c["key"] == key), F.lit(0)
     )["text"]
@@ -102,20 +99,20 @@ def plan_rewrites(
     """What moving every cursor would do, one row per cursor.
 
     ``state`` is ``(connection_id, namespace, stream, state)``, one row per stream
-    with its state as JSON text. Everything is decided inside the row, so there is
-    no shuffle. Actions: rewrite, rewrite:xmin, reset:count, skip:date, skip:xmin,
-    skip:advance, skip:opaque.
+    with its state as JSON text. Everything is decided inside the row and in one
+    pass, so there is no shuffle. Actions: rewrite, rewrite:xmin, reset:count,
+    skip:date, skip:xmin, skip:advance, skip:opaque.
     """
     rows = _streams(state, to, xid_value, xid_factor, only_rewind)
-    new_xid = F.when(F.col("_action") == "rewrite:xmin", F.col("_new").cast("string"))
-    by_xid = rows.where("_xmin").select(
-        *_KEYS, F.lit("xmin").alias("key"), F.col("_old").alias("old"),
-        F.coalesce(new_xid, F.col("_old")).alias("new"), F.col("_action").alias("action"),
+    xid_cell = F.struct(
+        F.lit("xmin").alias("key"), F.lit(None).cast("variant").alias("value"),
+        F.col("_old").alias("text"), F.lit(None).cast("date").alias("day"), F.lit(False).alias("zero"),
     )
     cell = F.col("_cell")
     standing = F.lit("skip:date" if to is None else "skip:advance")
     action = (
-        F.when(
+        F.when(F.col("_xmin"), F.col("_action"))
+        .when(
             cell["key"] == _COUNT,
             F.when(F.col("_rewrote") & ~cell["zero"], F.lit("reset:count")).otherwise(F.lit("skip:opaque")),
         )
@@ -124,14 +121,19 @@ def plan_rewrites(
         .otherwise(standing)
     )
     moved_to = K.rewrite_date(F.col("old"), F.lit(to)) if to is not None else F.col("old")
-    by_date = (
-        rows.where("NOT _xmin")
-        .select(*_KEYS, "_rewrote", F.explode("_cells").alias("_cell"))
-        .select(*_KEYS, cell["key"].alias("key"), cell["text"].alias("old"), action.alias("action"))
-        .withColumn("new", F.when(F.col("action") == "rewrite", moved_to)
-                    .when(F.col("action") == "reset:count", F.lit("0")).otherwise(F.col("old")))
+    done = F.col("action")
+    new = (
+        F.when(done == "rewrite", moved_to)
+        .when(done == "reset:count", F.lit("0"))
+        .when(done == "rewrite:xmin", F.coalesce(F.col("_new").cast("string"), F.col("old")))
+        .otherwise(F.col("old"))
+    )
+    shown = F.when(F.col("_xmin"), F.array(xid_cell)).otherwise(F.col("_cells"))
+    return (
+        rows.select(*_KEYS, "_xmin", "_rewrote", "_action", "_new", F.explode(shown).alias("_cell"))
+        .select(*_KEYS, cell["key"].alias("key"), cell["text"].alias("old"), "_new", action.alias("action"))
+        .select(*_KEYS, "key", "old", new.alias("new"), "action")
     )
-    return by_date.unionByName(by_xid)
 
 
 def rewritten_states(
@@ -155,8 +157,12 @@ def rewritten_states(
                 cell["key"] == _COUNT, F.parse_json(F.lit("0")))
         return F.struct(cell["key"].alias("key"), F.coalesce(value, cell["value"]).alias("value"))
 
-    changed = F.map_from_entries(F.transform("_cells", fresh))
-    return rows.where(moved).select(*_KEYS, F.to_json(changed).alias("new_state"))
+    # Exploding an array of no or one state filters without parsing a second time,
+    # which a filter pushed below the parse would do.
+    changed = F.when(moved, F.array(F.map_from_entries(F.transform("_cells", fresh))))
+    return rows.select(*_KEYS, F.explode(changed).alias("_map")).select(
+        *_KEYS, F.to_json("_map").alias("new_state")
+    )
 
 
 def rewrite_summary(plan: DataFrame, busy: DataFrame) -> DataFrame:

@@ -53,15 +53,15 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
         if frontier.isEmpty():
             break
         reached = (
-            frontier.select("node", F.col("reached").alias("_from"), "flag")
+            frontier.select("node", F.col("reached").alias("_from"), "flag", "depth")
             .join(step, "_from")
             .where(F.col("node") != F.col("_to"))
             .groupBy("node", F.col("_to").alias("reached"))
             .agg(
                 F.max(F.col("flag") & F.col("_flag")).alias("flag"),
                 F.min("_from").alias("via"),
+                (F.max("depth") + 1).alias("depth"),
             )
-            .withColumn("depth", F.lit(len(paths) + 1))
         )
         known = spark.read.schema(schema).parquet(*paths).select(
             F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_f")
