@@ -1,17 +1,60 @@
-"""Transitive closure of an edge table by semi-naive rounds.
+"""Transitive closure of an edge table by semi-naive rounds of several hops.
 
-The frontier joins the edges, the result is reduced to one row per pair, pairs
-already known are dropped, and every round is written to the shared folder. The
-cost follows the number of pairs, not the number of paths, and cycles end because
-no new pair is found. The driver sees one emptiness test per round.
+Every round joins the pairs found last with paths of up to ``h`` edges, reduces the
+result to one row per pair and flag, drops what is known and writes the rest to the
+shared folder. ``h`` doubles beforehand for as long as the path table stays within a
+fixed multiple of the edges, so deep graphs take few rounds and dense ones are not
+blown up. The cost follows the number of pairs, not the number of paths, and cycles
+end because no new pair is found. The driver sees one row count per round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from estate.session import materialize, scratch_path
+from estate.session import scratch_path
+
+# Paths may be at most this many times the edges before hops stop doubling.
+_GROWTH = 8
+_COLUMNS = ("node", "reached", "flag", "depth", "via")
+
+
+def _shortest(paths: DataFrame) -> DataFrame:
+    """One row per pair and flag: the shortest, then the smallest last node."""
+    return (
+        paths.where(F.col("node") != F.col("reached"))
+        .groupBy("node", "reached", "flag")
+        .agg(F.min(F.struct("depth", "via")).alias("_first"))
+        .select("node", "reached", "flag", F.col("_first.depth").alias("depth"),
+                F.col("_first.via").alias("via"))
+    )
+
+
+def _extend(found: DataFrame, step: DataFrame) -> DataFrame:
+    """Paths of ``found`` continued by one row of ``step``."""
+    head = found.select("node", F.col("reached").alias("_at"), F.col("flag").alias("_f"),
+                        F.col("depth").alias("_d"))
+    tail = step.select(F.col("node").alias("_at"), "reached", "flag", "depth", "via")
+    return head.join(tail, "_at").select(
+        "node", "reached", (F.col("_f") & F.col("flag")).alias("flag"),
+        (F.col("_d") + F.col("depth")).alias("depth"), "via",
+    )
+
+
+def _two_hop_rows(step: DataFrame) -> int:
+    """Rows joining the table with itself would make, from the degrees alone."""
+    into = step.groupBy(F.col("reached").alias("_at")).agg(F.count("*").alias("_in"))
+    out = step.groupBy(F.col("node").alias("_at")).agg(F.count("*").alias("_out"))
+    row = into.join(out, "_at").agg(F.sum(F.col("_in") * F.col("_out"))).first()
+    return int(row[0] or 0)
+
+
+def _write(df: DataFrame, path: str) -> int:
+    """Write to the shared folder; the row count comes along without another job."""
+    seen = Observation()
+    df.select(*_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
 
 
 def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> DataFrame:
@@ -22,70 +65,51 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
     has it on every edge. A node never reaches itself.
     """
     spark = edges.sparkSession
-    step = materialize(
+    root = scratch_path(spark, "closure")
+    single = (
         edges.select(
-            F.col(src).alias("_from"),
-            F.col(dst).alias("_to"),
-            (F.col(flag) if flag else F.lit(True)).alias("_flag"),
-        )
-        .where(F.col("_from").isNotNull() & F.col("_to").isNotNull())
-        .groupBy("_from", "_to")
-        .agg(F.max("_flag").alias("_flag")),
-        "edges",
-    )
-    found = (
-        step.where(F.col("_from") != F.col("_to"))
-        .select(
-            F.col("_from").alias("node"),
-            F.col("_to").alias("reached"),
-            F.col("_flag").alias("flag"),
-            F.col("_from").alias("via"),
-            F.lit(1).alias("depth"),
+            F.col(src).alias("node"), F.col(dst).alias("reached"),
+            (F.col(flag) if flag else F.lit(True)).alias("flag"),
         )
+        .where(F.col("node").isNotNull() & F.col("reached").isNotNull())
+        .where(F.col("node") != F.col("reached"))
+        .groupBy("node", "reached")
+        .agg(F.max("flag").alias("flag"))
+        .select("*", F.lit(1).alias("depth"), F.col("node").alias("via"))
     )
-    root = scratch_path(spark, "closure")
-    schema = found.schema
-    paths: list[str] = []
-    while True:
-        paths.append(f"{root}/round-{len(paths) + 1}")
-        found.write.parquet(paths[-1])
-        frontier = spark.read.schema(schema).parquet(paths[-1])
-        if frontier.isEmpty():
+    schema = single.select(*_COLUMNS).schema
+
+    def read(*names: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{root}/{n}" for n in names])
+
+    name, hops = "step-1", 1
+    size = _write(single, f"{root}/{name}")
+    limit = _GROWTH * size
+    while size and _two_hop_rows(read(name)) <= limit:
+        step, hops = read(name), 2 * hops
+        name = f"step-{hops}"
+        grown = _write(_shortest(step.unionByName(_extend(step, step))), f"{root}/{name}")
+        if grown == size:
             break
-        reached = (
-            frontier.select("node", F.col("reached").alias("_from"), "flag", "depth")
-            .join(step, "_from")
-            .where(F.col("node") != F.col("_to"))
-            .groupBy("node", F.col("_to").alias("reached"))
-            .agg(
-                F.max(F.col("flag") & F.col("_flag")).alias("flag"),
-                F.min("_from").alias("via"),
-                (F.max("depth") + 1).alias("depth"),
-            )
-        )
-        known = spark.read.schema(schema).parquet(*paths).select(
-            F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_f")
+        size = grown
+    step, names = read(name), [name]
+    while size:
+        known = read(*names).select(
+            F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_k")
         )
-        # A pair comes back only to turn its flag from false to true.
-        found = reached.join(
+        # A known pair only comes back to turn its flag from false to true.
+        reached = _shortest(_extend(read(names[-1]), step))
+        fresh = reached.join(
             known,
-            (reached.node == known._n)
-            & (reached.reached == known._r)
-            & (known._f | ~reached.flag),
+            (reached.node == known._n) & (reached.reached == known._r) & (known._k | ~reached.flag),
             "left_anti",
-        ).select(*schema.names)
-    pairs = spark.read.schema(schema).parquet(*paths)
+        )
+        names.append(f"round-{len(names)}")
+        size = _write(fresh, f"{root}/{names[-1]}")
+    pairs = read(*names)
     return (
         pairs.groupBy("node", "reached")
-        .agg(
-            F.min(F.struct("depth", "via")).alias("_first"),
-            F.max("flag").alias("flag"),
-        )
-        .select(
-            "node",
-            "reached",
-            F.col("_first.depth").alias("depth"),
-            F.col("_first.via").alias("via"),
-            "flag",
-        )
+        .agg(F.min(F.struct("depth", "via")).alias("_first"), F.max("flag").alias("flag"))
+        .select("node", "reached", F.col("_first.depth").alias("depth"),
+                F.col("_first.via").alias("via"), "flag")
     )
