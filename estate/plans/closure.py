@@ -1,11 +1,11 @@
-"""Transitive closure of an edge table by semi-naive rounds of several hops.
-
-Every round joins the pairs found last with paths of up to ``h`` edges, reduces the
-result to one row per pair and flag, drops what is known and writes the rest to the
-shared folder. ``h`` doubles beforehand for as long as the path table stays within a
-fixed multiple of the edges, so deep graphs take few rounds and dense ones are not
-blown up. The cost follows the number of pairs, not the number of paths, and cycles
-end because no new pair is found. The driver sees one row count per round.
+"""Transitive closure of an edge table by semi-naive rounds.
+
+Every round joins the pairs found last with the edges, reduces the result to one row
+per pair and flag, drops what is known and writes the rest to the shared folder.
+Where paths of two edges are few, the edges are extended by them first: that halves
+the rounds, and with them how often the known pairs are read again, without blowing
+up dense graphs. The cost follows the number of pairs, not the number of paths, and
+cycles end because no new pair is found. The driver sees one row count per round.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from estate.session import scratch_path
 
-# Paths may be at most this many times the edges before hops stop doubling.
-_GROWTH = 8
+# Two-edge paths may be at most this many times the edges to be worth keeping.
+_GROWTH = 2
 _COLUMNS = ("node", "reached", "flag", "depth", "via")
 
 
@@ -82,16 +82,11 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
     def read(*names: str) -> DataFrame:
         return spark.read.schema(schema).parquet(*[f"{root}/{n}" for n in names])
 
-    name, hops = "step-1", 1
+    name = "step-1"
     size = _write(single, f"{root}/{name}")
-    limit = _GROWTH * size
-    while size and _two_hop_rows(read(name)) <= limit:
-        step, hops = read(name), 2 * hops
-        name = f"step-{hops}"
-        grown = _write(_shortest(step.unionByName(_extend(step, step))), f"{root}/{name}")
-        if grown == size:
-            break
-        size = grown
+    if size and _two_hop_rows(read(name)) <= _GROWTH * size:
+        step, name = read(name), "step-2"
+        size = _write(_shortest(step.unionByName(_extend(step, step))), f"{root}/{name}")
     step, names = read(name), [name]
     while size:
         known = read(*names).select(
