@@ -260,10 +260,9 @@ def blocked_drops(plan: DataFrame, edges: DataFrame, relations: DataFrame) -> Da
     ).select(F.col("relation_id").alias("view_id"),
              F.concat(P.kind_label(), F.lit(" "), T.qualified()).alias("dependent"))
     reads = edges.where(F.col("view_id") != F.col("source_id")).distinct()
-    return (
-        drops.join(reads.withColumnRenamed("source_id", "relation_id"), "relation_id")
-        .join(staying, "view_id")
-        .select("relation_id", *_NAME, "kind", "dependent")
+    hit = drops.join(reads.withColumnRenamed("source_id", "relation_id"), "relation_id")
+    return hot_join(hit, staying, ["view_id"], by=["relation_id"]).select(
+        "relation_id", *_NAME, "kind", "dependent"
     )
 
 

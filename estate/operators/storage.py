@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estate.functions import predicates as P
 from estate.functions import text as T
@@ -110,34 +111,41 @@ def schema_highlights(relations: DataFrame, n: int = 5) -> DataFrame:
              P.kind_label().alias("kind"), "size_bytes")
 
 
+def _with_more(fetched: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """Show ``limit`` of at most ``limit + 1`` fetched rows and whether more follow."""
+    position = F.row_number().over(Window.orderBy(*order))
+    count = F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (
+        fetched.withColumns({"_pos": position, "has_more": count > limit})
+        .where(F.col("_pos") <= limit)
+        .drop("_pos")
+    )
+
+
 def page(
     df: DataFrame, order_by: Sequence[str | Column], limit: int, number: int = 1
-) -> tuple[DataFrame, DataFrame]:
-    """One page (1-based) and a one-row frame ``has_more``; limit 0 means all rows.
+) -> DataFrame:
+    """One page (1-based) with a ``has_more`` column; limit 0 means all rows.
 
-    The order key is mandatory, otherwise two pages may overlap. For deep pages
-    use :func:`page_after`, whose cost does not grow with the page number.
+    The order key is mandatory, otherwise two pages may overlap. Only ``limit + 1``
+    rows leave the top-k. For deep pages use :func:`page_after`, whose cost does
+    not grow with the page number.
     """
     if not order_by:
         raise ValueError("a page needs an order key")
     if number < 1:
         raise ValueError("pages count from 1")
     if limit == 0:
-        more = df.sparkSession.range(1).select(F.lit(False).alias("has_more"))
-        return df, more
-    start = (number - 1) * limit
-    fetched = df.orderBy(*order_by).offset(start).limit(limit + 1)
-    rows = df.orderBy(*order_by).offset(start).limit(limit)
-    return rows, fetched.agg((F.count("*") > limit).alias("has_more"))
+        return df.withColumn("has_more", F.lit(False))
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    fetched = df.orderBy(*order).offset((number - 1) * limit).limit(limit + 1)
+    return _with_more(fetched, order, limit)
 
 
-def page_after(
-    df: DataFrame, key: str, last: object | None, limit: int
-) -> tuple[DataFrame, DataFrame]:
+def page_after(df: DataFrame, key: str, last: object | None, limit: int) -> DataFrame:
     """The next page behind key ``last``; the filter reaches the scan."""
     rest = df if last is None else df.where(F.col(key) > F.lit(last))
-    more = rest.orderBy(key).limit(limit + 1).agg((F.count("*") > limit).alias("has_more"))
-    return rest.orderBy(key).limit(limit), more
+    return _with_more(rest.orderBy(key).limit(limit + 1), [F.col(key)], limit)
 
 
 def cap(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:

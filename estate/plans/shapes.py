@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,9 @@ from pyspark.sql.window import Window
 # Above this the planner stops pruning row_number() filters before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_LIMIT = 1000
-_SALTS = 32
+# Sub-groups of a group in a big top-k; each holds a small share of a hot group.
+_SUBGROUPS = 4096
+_SALTS = 8
 
 
 def spread(salts: int, *columns: str) -> Column:
@@ -34,7 +35,7 @@ def top_k(
     same, so no task ever sorts a whole hot group.
     """
     if n > _PRUNED_LIMIT:
-        salted = df.withColumn("_salt", spread(_SALTS, *df.columns))
+        salted = df.withColumn("_salt", spread(_SUBGROUPS, *df.columns))
         inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             salted.withColumn("_pos", F.row_number().over(inner))
@@ -55,17 +56,15 @@ def hot_join(
 ) -> DataFrame:
     """Join on keys that may hold a large share of ``big``.
 
-    ``small`` is expected to have about one row per key (usually an aggregate on
-    the same keys, where the adaptive skew split cannot help because both sides
-    are already partitioned). Each key of ``big`` is spread over ``salts`` tasks
-    and ``small`` is repeated once per salt.
+    ``small`` has about one row per key and is usually an aggregate on these very
+    keys. Joined as it is, it would not be shuffled again, and the adaptive skew
+    split only works on sides that are. With the salt in the keys each hot key is
+    spread over ``salts`` tasks *and* both sides are shuffled afresh, so what is
+    still too big is split further at run time. ``small`` is repeated per salt; if
+    it is small enough to be broadcast, the planner does that on its own.
     """
     columns = by or [c for c in big.columns if c not in keys] or list(big.columns)
     left = big.withColumn("_salt", spread(salts, *columns))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
-
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition that treats NULL keys as equal."""
-    return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])

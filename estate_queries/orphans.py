@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from estate.operators import orphans as O
+from estate.session import materialize
 from estate_queries import fixtures as X
 from estate_queries.fixtures import with_fx
 
@@ -24,20 +25,25 @@ def _current(spark, d):
         "relation_id", "target", "schema_name", "relation_name", "relkind")
 
 
+def _kept_live(spark, d):
+    """The live set, written once: it is small and read by several steps."""
+    return materialize(_live(spark, d), "live")
+
+
 def _existing(spark, d, live=None):
-    live = _live(spark, d) if live is None else live
+    live = _kept_live(spark, d) if live is None else live
     return O.existing_relations(_current(spark, d), X.inherits(spark, d), live, REDSHIFT)
 
 
 def _orphans(spark, d):
-    live = _live(spark, d)
+    live = _kept_live(spark, d)
     tokens = ["dev_economy", "prod_small.t7  # kept by finance"]
     return O.orphans(_existing(spark, d, live), live, tokens)
 
 
 def _summary(spark, d):
-    live = _live(spark, d)
-    existing = _existing(spark, d, live)
+    live = _kept_live(spark, d)
+    existing = materialize(_existing(spark, d, live), "existing")
     return O.orphan_summary(live, existing, O.orphans(existing, live))
 
 
@@ -74,12 +80,14 @@ def _plan(spark, d, unknown=False):
 
 
 def _blocked(spark, d):
-    return O.blocked_drops(_plan(spark, d, True), X.edges(spark, d), _current(spark, d))
+    plan = materialize(_plan(spark, d, True), "purge")
+    return O.blocked_drops(plan, X.edges(spark, d), _current(spark, d))
 
 
 def _decision(spark, d):
-    plan = _plan(spark, d, True).where(F.col("kind") != "matview")
-    return O.purge_decision(plan, O.blocked_drops(plan, X.edges(spark, d), _current(spark, d)))
+    plan = materialize(_plan(spark, d, True).where(F.col("kind") != "matview"), "purge")
+    blocked = materialize(O.blocked_drops(plan, X.edges(spark, d), _current(spark, d)), "blocked")
+    return O.purge_decision(plan, blocked)
 
 
 QUERIES = {
