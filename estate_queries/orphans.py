@@ -25,24 +25,19 @@ def _current(spark, d):
         "relation_id", "target", "schema_name", "relation_name", "relkind")
 
 
-def _kept_live(spark, d):
-    """The live set, written once: it is small and read by several steps."""
-    return materialize(_live(spark, d), "live")
-
-
 def _existing(spark, d, live=None):
-    live = _kept_live(spark, d) if live is None else live
+    live = _live(spark, d) if live is None else live
     return O.existing_relations(_current(spark, d), X.inherits(spark, d), live, REDSHIFT)
 
 
 def _orphans(spark, d):
-    live = _kept_live(spark, d)
+    live = _live(spark, d)
     tokens = ["dev_economy", "prod_small.t7  # kept by finance"]
     return O.orphans(_existing(spark, d, live), live, tokens)
 
 
 def _summary(spark, d):
-    live = _kept_live(spark, d)
+    live = materialize(_live(spark, d), "live")
     existing = materialize(_existing(spark, d, live), "existing")
     return O.orphan_summary(live, existing, O.orphans(existing, live))
 
