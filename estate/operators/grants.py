@@ -83,22 +83,29 @@ def _asks_for(tokens: str, privilege: str) -> Column:
     return F.arrays_overlap(F.col(tokens), F.array(*map(F.lit, names)))
 
 
+def _tokenised(requests: DataFrame, tokens: str) -> DataFrame:
+    return requests.withColumn("_tokens", F.split(F.lower(F.trim(tokens)), r"\s*,\s*"))
+
+
+def _unknown() -> Column:
+    known = F.array(*map(F.lit, (*PRIVILEGE_ORDER, *PRESETS, "")))
+    return F.array_except("_tokens", known)
+
+
 def expand_privileges(requests: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Presets expanded, usage implied, repeats dropped, canonical order, unknowns apart.
 
     ``tokens`` is a comma list. Works row by row on built-in array functions that
     compile into the stage: no join, no shuffle, no interpreted lambda.
     """
-    named = F.array_compact(F.array(*[
-        F.when(_asks_for("_tokens", p), F.lit(p)) for p in PRIVILEGE_ORDER
-    ]))
-    known = F.array(*map(F.lit, (*PRIVILEGE_ORDER, *PRESETS, "")))
+    marked = F.array(*[F.when(_asks_for("_tokens", p), F.lit(p)) for p in PRIVILEGE_ORDER])
+    named = F.array_except(marked, F.array(F.lit(None).cast("string")))
     status = F.when(F.size("unknown") > 0, F.lit("unknown_privilege")).when(
         F.size("privileges") == 0, F.lit("no_privilege")
     )
     return (
-        requests.withColumn("_tokens", F.split(F.lower(F.trim(tokens)), r"\s*,\s*"))
-        .withColumns({"privileges": named, "unknown": F.array_except("_tokens", known)})
+        _tokenised(requests, tokens)
+        .withColumns({"privileges": named, "unknown": _unknown()})
         .withColumn("status", status.otherwise(F.lit("ok")))
         .drop("_tokens")
     )
@@ -110,14 +117,12 @@ def merge_requests(requests: DataFrame, tokens: str = "tokens") -> DataFrame:
     Only the fixed vocabulary is carried through the aggregation, one flag per
     privilege, so a grantee named millions of times stays one small row.
     """
-    expanded = expand_privileges(requests, tokens)
-    flags = [F.max(F.array_contains("privileges", p)).alias(f"_{i}") for i, p in enumerate(PRIVILEGE_ORDER)]
+    flags = [F.max(_asks_for("_tokens", p)).alias(f"_{i}") for i, p in enumerate(PRIVILEGE_ORDER)]
     named = F.array_compact(F.array(*[
         F.when(F.col(f"_{i}"), F.lit(p)) for i, p in enumerate(PRIVILEGE_ORDER)
     ]))
-    bad = F.count_if(F.col("status") == "unknown_privilege")
-    return expanded.groupBy("grantee").agg(
-        F.count("*").alias("requests"), bad.alias("bad_requests"), *flags
+    return _tokenised(requests, tokens).groupBy("grantee").agg(
+        F.count("*").alias("requests"), F.count_if(F.size(_unknown()) > 0).alias("bad_requests"), *flags
     ).select("grantee", "requests", "bad_requests", named.alias("privileges"))
 
 
@@ -193,11 +198,12 @@ def schema_grant_plan(
     error:no_grantor. Future-object privileges need a grantor: ``default_for``,
     else the owner of the schema.
     """
+    # The outer form, as the plain one adds a filter that works the arrays out twice.
     asked = requests.select(
         "request_id", "engine", "grantee", "kind", "privileges",
         F.explode(F.array_distinct("schemas")).alias("schema_name"),
     ).select("request_id", "engine", "grantee", "kind", "schema_name",
-             F.explode("privileges").alias("privilege"))
+             F.explode_outer("privileges").alias("privilege")).where(F.col("privilege").isNotNull())
     grantors = owners.select("schema_name", F.col("owner").alias("grantor"))
     plan = hot_join(asked, grantors, ["schema_name"], "left", by=["request_id", "privilege"])
     if default_for:

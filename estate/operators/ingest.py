@@ -129,8 +129,10 @@ def plan_rewrites(
         .otherwise(F.col("old"))
     )
     shown = F.when(F.col("_xmin"), F.array(xid_cell)).otherwise(F.col("_cells"))
+    # The outer form, as the plain one adds a filter that parses the state twice.
     return (
-        rows.select(*_KEYS, "_xmin", "_rewrote", "_action", "_new", F.explode(shown).alias("_cell"))
+        rows.select(*_KEYS, "_xmin", "_rewrote", "_action", "_new", F.explode_outer(shown).alias("_cell"))
+        .where(cell.isNotNull())
         .select(*_KEYS, cell["key"].alias("key"), cell["text"].alias("old"), "_new", action.alias("action"))
         .select(*_KEYS, "key", "old", new.alias("new"), "action")
     )
@@ -160,8 +162,10 @@ def rewritten_states(
     # Exploding an array of no or one state filters without parsing a second time,
     # which a filter pushed below the parse would do.
     changed = F.when(moved, F.array(F.map_from_entries(F.transform("_cells", fresh))))
-    return rows.select(*_KEYS, F.explode(changed).alias("_map")).select(
-        *_KEYS, F.to_json("_map").alias("new_state")
+    return (
+        rows.select(*_KEYS, F.explode_outer(changed).alias("_map"))
+        .where(F.col("_map").isNotNull())
+        .select(*_KEYS, F.to_json("_map").alias("new_state"))
     )
 
 
@@ -241,8 +245,13 @@ def merge_tags(first: Column | str, second: Column | str) -> Column:
             F.coalesce(F.nullif(t["tagId"], F.lit("")), t["id"]).alias("tagId"), t["name"].alias("name"))),
         lambda t: F.coalesce(t["tagId"], F.lit("")) != "",
     )
-    ids = F.array_distinct(F.transform(known, lambda t: t["tagId"]))
-    return F.transform(ids, lambda i: F.element_at(F.filter(known, lambda t: t["tagId"] == i), -1))
+
+    def last_of_each(tags: Column) -> Column:
+        ids = F.array_distinct(F.transform(tags, lambda t: t["tagId"]))
+        return F.transform(ids, lambda i: F.element_at(F.filter(tags, lambda t: t["tagId"] == i), -1))
+
+    # One array around it binds the joined list to a name, so it is built once per row.
+    return F.transform(F.array(known), last_of_each)[0]
 
 
 def tag_plan(wanted: DataFrame, tags: DataFrame) -> DataFrame:
