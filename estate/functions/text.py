@@ -40,7 +40,7 @@ def preview(col: Column | str, width: int = 120) -> Column:
 def classify_sql(col: Column | str) -> Column:
     """``read`` or ``write`` for a logged statement; unknown heads are writes."""
     bare = F.regexp_replace(col, r"(?s)--[^\n]*|/\*.*?\*/", " ")
-    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
+    bare = F.btrim(bare, F.lit(" \t\n\x0b\f\r"))
     head = F.lower(F.regexp_extract(bare, r"^\S+", 0))
     head = F.regexp_replace(head, ";+$", "")
     changes = bare.rlike(r"(?i)\b(" + "|".join(CHANGE_WORDS) + r")\b")

@@ -304,11 +304,14 @@ def split_cron(col: Column | str) -> tuple[Column, Column]:
 def is_cron(expression: Column) -> Column:
     """Five, six or seven valid fields; six and seven start with seconds."""
     plain = F.replace(expression, F.lit("?"), F.lit("*"))
-    return (
+    shaped = (
         plain.rlike(_cron_pattern(_FIVE))
         | plain.rlike(_cron_pattern(("second", *_FIVE)))
         | plain.rlike(_cron_pattern(("second", *_FIVE, "year")))
     )
+    # Naming every value of every field stays well below this; the patterns repeat
+    # groups, so they are kept away from texts of any length.
+    return F.when(F.length(plain) <= 4000, shaped).otherwise(F.lit(False))
 
 
 def schedule_report(connections: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ def test_fold_and_preview(frame):
     ("ALTER USER u\nPASSWORD 'a b'", "ALTER USER u PASSWORD ***"),
     ("PGPASSWORD='x y' psql", "PGPASSWORD=*** psql"),
     ("Password set: yes", "Password set: yes"),
+    ("password='it''s' x", "password=*** x"), ("it''s fine", "it''s fine"), ("a\u0001b pwd=x", "a\u0001b pwd=***"),
     ("nothing here", "nothing here"),
 ])
 def test_masking(frame, text, masked):
@@ -56,6 +57,21 @@ def test_masking(frame, text, masked):
         assert got == masked
 
 
+@pytest.mark.parametrize("text", [
+    "token='" + "x " * 200000, "password = '" + "a''b " * 3000 + "' end", "secret=\"" + "y " * 200000 + "\" end",
+    "authorization: '" + "z " * 200000, "basic " + "w" * 400000, "a." * 100000 + "token=x", "pwd " * 50000 + "pwd=1",
+])
+def test_masking_takes_whole_long_texts(frame, text):
+    got = one(frame, text, masking.mask_secrets)
+    assert "***" in got
+    assert got.endswith(" end") or not text.endswith(" end")
+
+
+def test_classify_takes_long_texts(frame):
+    assert one(frame, "\n " * 100000 + "select 1" + " \n" * 100000, T.classify_sql) == "read"
+    assert one(frame, "/* " + "x\n" * 200000 + "*/ drop table t", T.classify_sql) == "write"
+
+
 @pytest.mark.parametrize("value,day", [
     ("2024-06-01", date(2024, 6, 1)), ("20240601", date(2024, 6, 1)), (" 2024-06-01T00:00:00.123Z", date(2024, 6, 1)),
     ("2024-06-01 10:00:00+02:00", date(2024, 6, 1)), ("2024-06-01t10", date(2024, 6, 1)),
