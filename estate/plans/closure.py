@@ -17,6 +17,9 @@ from estate.session import scratch_path
 
 # Two-edge paths may be at most this many times the edges to be worth keeping.
 _GROWTH = 2
+# With this many known pairs, a round that finds few no longer shuffles all of them.
+_MANY = 10_000_000
+_FEW = 16
 _COLUMNS = ("node", "reached", "flag", "depth", "via")
 
 
@@ -87,13 +90,21 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
     if size and _two_hop_rows(read(name)) <= _GROWTH * size:
         step, name = read(name), "step-2"
         size = _write(_shortest(step.unionByName(_extend(step, step))), f"{root}/{name}")
-    step, names = read(name), [name]
+    step, names, total = read(name), [name], size
     while size:
         known = read(*names).select(
             F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_k")
         )
-        # A known pair only comes back to turn its flag from false to true.
         reached = _shortest(_extend(read(names[-1]), step))
+        if total > _MANY and size * _FEW < total:
+            # Few candidates: written first, they filter the known pairs where those
+            # lie, by broadcast if their measured size allows it.
+            candidates = f"reached-{len(names)}"
+            _write(reached, f"{root}/{candidates}")
+            reached = read(candidates)
+            pairs = reached.select(F.col("node").alias("_n"), F.col("reached").alias("_r"))
+            known = known.join(pairs, ["_n", "_r"], "left_semi")
+        # A known pair only comes back to turn its flag from false to true.
         fresh = reached.join(
             known,
             (reached.node == known._n) & (reached.reached == known._r) & (known._k | ~reached.flag),
@@ -101,6 +112,7 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
         )
         names.append(f"round-{len(names)}")
         size = _write(fresh, f"{root}/{names[-1]}")
+        total += size
     pairs = read(*names)
     return (
         pairs.groupBy("node", "reached")

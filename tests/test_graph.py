@@ -3,6 +3,7 @@
 import random
 
 from estate.operators import roles as R
+from estate.plans import closure as shapes
 from estate.plans.closure import closure
 
 EDGE = "member string, role string, inherit boolean"
@@ -68,6 +69,14 @@ def test_random_graphs_match_brute_force(frame):
         assert got == brute(edges)
 
 
+def test_filtered_known_pairs_give_the_same(frame, monkeypatch):
+    monkeypatch.setattr(shapes, "_MANY", 0)
+    monkeypatch.setattr(shapes, "_FEW", 0)
+    rng = random.Random(11)
+    edges = [(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}", rng.random() < 0.6) for _ in range(30)]
+    assert as_dict(closure(frame(edges, EDGE), "member", "role", "inherit")) == brute(edges)
+
+
 def test_deep_chain(frame):
     edges = [(f"n{i:02}", f"n{i + 1:02}", i != 20) for i in range(24)]
     got = as_dict(closure(frame(edges, EDGE), "member", "role", "inherit"))
