@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+SCRATCH_KEY = "spark.estate.scratch.dir"
+# Paths handed out by this process, for clear_scratch.
+_MADE: list[str] = []
 
 # Planner settings this library relies on. All are runtime settings, so they can
 # be applied to a session somebody else built.
@@ -27,24 +30,41 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for cut points, taken from ``spark.checkpoint.dir``.
+    """Shared folder for cut points.
 
-    A folder of our own is made only where that is unset *and* the session is
-    local; on a cluster a machine-local folder would be lost with its machine.
+    ``spark.estate.scratch.dir`` can be set at any time and comes first; then the
+    folder the cluster names in ``spark.checkpoint.dir``, which Spark lets nobody
+    change at run time. Only where neither is set *and* the session is local is a
+    folder made here; on a cluster it would be lost with its machine.
     """
-    configured = spark.conf.get(_CHECKPOINT_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="estate-")
-    spark.conf.set(_CHECKPOINT_KEY, made)
-    return made
+    configured = spark.conf.get(SCRATCH_KEY, None) or spark.conf.get(_CHECKPOINT_KEY, None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SCRATCH_KEY} or {_CHECKPOINT_KEY} to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="estate-")
+        spark.conf.set(SCRATCH_KEY, configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path nobody else writes to, below the shared scratch folder."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove one scratch path through Spark's file systems; absent is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch path this process made. Frames read from them end here."""
+    for path in list(_MADE):
+        discard(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

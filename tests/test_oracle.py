@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from estate_queries import MODULES
 from tools.check import TYPES, compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+NAMES = sorted(name for module in MODULES for name in module.QUERIES)
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
@@ -17,10 +19,11 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(NAMES) <= set(QUERIES)
+    assert set(NAMES) <= set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     ok, note = compare(df, con, ORACLE[name])

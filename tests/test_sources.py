@@ -1,6 +1,9 @@
 """Readers, sinks, streams, and the physical plans of the headline queries."""
 
 import json
+import os
+import subprocess
+import sys
 from datetime import datetime
 
 import pytest
@@ -8,14 +11,53 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from estate.operators import describe as D
-from estate.session import scratch_dir
+from estate.session import SCRATCH_KEY, discard, scratch_dir, scratch_path
 from estate.sources import audit, pages, sinks, snapshot
 
 SF = "/root/testdata/sf0.001"
-
-
-def test_scratch_follows_the_session(spark):
-    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_scratch_follows_the_session(spark, tmp_path):
+    named = spark.conf.get(SCRATCH_KEY, None)
+    spark.conf.set(SCRATCH_KEY, f"file://{tmp_path}/")
+    try:
+        path = scratch_path(spark, "x")
+        assert path.startswith(f"file://{tmp_path}/x-")
+        spark.range(3).write.parquet(path)
+        discard(spark, path)
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset(SCRATCH_KEY)
+        if named:
+            spark.conf.set(SCRATCH_KEY, named)
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
+        assert scratch_dir(spark) == (named or configured).rstrip("/")
+
+
+PLAIN = """
+import __spark_entry__ as entry
+from estate.testing import local_session
+spark = local_session()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+queries = entry.queries()
+for name in ("e1_ancestors", "o4_orphan_summary", "a8_write_audit", "s1_metric_stream"):
+    assert queries[name](spark, "%s").count() > 0, name
+from estate import session
+made = session.scratch_dir(spark)
+session.clear_scratch(spark)
+import os
+assert not os.listdir(made.removeprefix("file://")), os.listdir(made)
+print("plain session works")
+"""
+
+
+def test_scratch_on_a_plain_spark(tmp_path):
+    """A fresh process whose Spark presets nothing."""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env |= {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT, "TMPDIR": str(tmp_path)}
+    run = subprocess.run([sys.executable, "-c", PLAIN % SF], env=env, cwd=ROOT, capture_output=True, text=True)
+    assert "plain session works" in run.stdout, run.stderr[-2000:]
 
 
 def test_rename_log_skips_what_it_cannot_use(spark, tmp_path):
