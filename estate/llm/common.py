@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,24 @@ def words_of(text: Column) -> Column:
     """The words of a text, an empty array for null, empty and blank ones."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(bare != "", F.split(bare, f"[{SPACE_CLASS}]+")).otherwise(F.array().cast("array<string>"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, as ``--py-files`` would, once per application.
+
+    Operators with Python in their tasks call it, so that they also run where only the
+    driver has the library.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="estate-ship-")) / "estate.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

@@ -4,18 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate.llm import exact_dedup, line_dedup, quality_rules
+from estate.llm import bpe, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, secrets, token_files
 from estate.llm.common import documents, table
 
 
+VOCABULARY = "byte_bpe_50k.json"
+# The id that ends a document in that vocabulary.
+END_OF_DOCUMENT = 50256
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.where(~quality_classifier.held_out()))
+    scored = quality_classifier.score(docs, model)
+    return scored.select(
+        "doc_id", quality_classifier.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.word_count())
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    return bpe.digests(_encoded(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_rows(table(spark, sf_dir, "labels"))
     return quality_rules.quality_rules(documents(spark, sf_dir), trusted)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_files.write_token_files(_encoded(spark, sf_dir), END_OF_DOCUMENT)
+    return token_files.token_counts(index, END_OF_DOCUMENT)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -25,9 +59,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "source", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_quality_rules, op7_exact_dedup, op8_line_dedup)
+    for f in (
+        op1_quality_classifier, op2_packing, op3_bpe, op5_quality_rules, op6_token_counts, op7_exact_dedup,
+        op8_line_dedup, op9_secret_scan,
+    )
 }
 
 ORACLE = {
