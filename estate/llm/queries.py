@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate.llm import bpe, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, secrets, token_files
+from estate.llm import (
+    bpe,
+    exact_dedup,
+    line_dedup,
+    near_dup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    suffix_dedup,
+    token_files,
+)
 from estate.llm.common import documents, table
 
 
@@ -40,6 +51,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_encoded(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_rows(table(spark, sf_dir, "labels"))
     return quality_rules.quality_rules(documents(spark, sf_dir), trusted)
@@ -63,11 +78,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_packing, op3_bpe, op5_quality_rules, op6_token_counts, op7_exact_dedup,
-        op8_line_dedup, op9_secret_scan,
+        op1_quality_classifier, op2_packing, op3_bpe, op4_suffix_dedup, op5_quality_rules, op6_token_counts,
+        op7_exact_dedup, op8_line_dedup, op9_secret_scan, op10_near_dup,
     )
 }
 

@@ -1,6 +1,7 @@
 """What the driver registers: the ten operators and the pipeline over the documents."""
 
+import corpus_pipeline
 from estate.llm import queries
 
-QUERIES = dict(queries.QUERIES)
-ORACLE = dict(queries.ORACLE)
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = {**queries.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -225,14 +225,32 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = False) -> DataFrame:
+def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every find in ``text``, decoded ones too, replaced by its kind.
+
+    All columns and rows stay; null and empty texts stay as they are.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = batch.column(at).to_pylist()
+            masked = [None if t is None else redacted(t, find_all(t)[1]) for t in plain]
+            columns = [pa.array(masked, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the base counts ``n_assign``, ``n_access``,
-    ``n_hex``, ``base_sha256``, and ``spans``; with ``mask`` also ``masked``.
+    ``n_hex``, ``base_sha256``, and ``spans``.
 
     Spans are in code points, end exclusive. The counts and the digest tell the finds in
     the text itself, ``spans`` also what decoded layers hold. Null and empty texts have
-    no finds; a null stays null when masked. Repeated rows are scanned each. Other
-    columns are not read. An empty table gives no rows.
+    no finds. Repeated rows are scanned each. Other columns are not read. An empty table
+    gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -241,23 +259,19 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
-            digests, spans, masked = [], [], []
+            digests, spans = [], []
             for value in batch["text"]:
-                plain = value.as_py()
-                base, found = find_all(plain or "")
+                base, found = find_all(value.as_py() or "")
                 for k in range(3):
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(told(base).encode()).hexdigest())
                 spans.append(told(found))
-                if mask:
-                    masked.append(None if plain is None else redacted(plain, found))
-            columns = [batch["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            if mask:
-                columns, names = [*columns, pa.array(masked, pa.string())], [*names, "masked"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    masked = ", masked string" if mask else ""
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()),
+                 pa.array(spans, pa.string())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
+
     return rows.mapInArrow(
-        run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string{masked}"
+        run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     )
