@@ -101,12 +101,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets
     counted = grams.groupBy("_bucket").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good"))
     # Buckets are bounded by the parameter: from here on there are a few thousand rows.
     counted = materialize(counted, "ngrams")
-    sums = counted.agg(F.sum("_raw").alias("_all_raw"), F.sum("_good").alias("_all_good"))
-    p = F.col("_raw") / F.col("_all_raw")
-    ratio = F.log((F.col("_good") + prior * p) / ((F.col("_all_good") + prior) * p))
-    each = counted.withColumn("_k", F.lit(0)).join(F.broadcast(sums.withColumn("_k", F.lit(0))), "_k").select(
-        "_bucket", F.round(ratio * _MILLION).cast("bigint").alias("_ratio")
-    )
+    p = F.col("_raw") / counted.agg(F.sum("_raw")).scalar()
+    ratio = F.log((F.col("_good") + prior * p) / ((counted.agg(F.sum("_good")).scalar() + prior) * p))
+    each = counted.select("_bucket", F.round(ratio * _MILLION).cast("bigint").alias("_ratio"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_bucket"))
     filled = every.join(F.broadcast(each), "_bucket", "left").agg(
         F.sort_array(F.collect_list(F.struct("_bucket", F.coalesce("_ratio", F.lit(0)).alias("_ratio")))).alias("_all")
