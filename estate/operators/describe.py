@@ -129,15 +129,15 @@ def column_report(columns: DataFrame, constraints: DataFrame) -> DataFrame:
     An identity clause wins over a default expression. Of several foreign keys the
     one with the smallest name is shown.
     """
-    keys = constraints.where(F.col("contype") == "p").select(
-        "relation_id", F.explode("columns").alias("column_name"),
-        F.lit(None).cast("struct<con_name:string,ref_table:string,ref_column:string>").alias("_fk"),
+    pairs = F.arrays_zip(
+        F.col("columns").alias("l"), F.coalesce("ref_columns", F.array().cast("array<string>")).alias("r")
     )
-    refs = fk_pairs(constraints).select(
-        "relation_id", "column_name", F.struct("con_name", "ref_table", "ref_column").alias("_fk")
-    )
-    marks = keys.unionByName(refs).groupBy("relation_id", "column_name").agg(
-        F.max(F.col("_fk").isNull()).alias("_pk"), F.min("_fk").alias("_fk")
+    foreign = F.struct("con_name", "ref_table", F.col("_pair.r").alias("ref_column"))
+    marks = (
+        constraints.where(F.col("contype").isin("p", "f"))
+        .select("relation_id", "con_name", "contype", "ref_table", F.explode(pairs).alias("_pair"))
+        .groupBy("relation_id", F.col("_pair.l").alias("column_name"))
+        .agg(F.max(F.col("contype") == "p").alias("_pk"), F.min(F.when(F.col("contype") == "f", foreign)).alias("_fk"))
     )
     default = F.coalesce(P.lookup(IDENTITY, F.col("identity_code")), F.col("default_expr"))
     return (
@@ -166,14 +166,21 @@ def index_report(index_columns: DataFrame) -> DataFrame:
     )
 
 
-def tree_rollup(relations: DataFrame, inherits: DataFrame) -> DataFrame:
+def tree_rollup(relations: DataFrame, inherits: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Sizes of every relation summed over itself and all partitions below it.
 
+    ``of`` names the relations to report on; only their trees are walked.
+
     Rows are summed over leaves only, as a partitioned parent already counts its
     children; without any known leaf the relation's own estimate is used.
     """
     own = relations.select(F.col("relation_id").alias("root"), F.col("relation_id").alias("member"))
-    below = closure(inherits, "parent_id", "child_id").select(
+    roots = relations
+    if of is not None:
+        of = of.select(F.col(of.columns[0]).alias("relation_id")).distinct()
+        roots = relations.join(of, "relation_id", "left_semi")
+        own = roots.select(F.col("relation_id").alias("root"), F.col("relation_id").alias("member"))
+    below = closure(inherits, "parent_id", "child_id", starts=of).select(
         F.col("node").alias("root"), F.col("reached").alias("member")
     )
     figures = relations.select(
@@ -195,7 +202,7 @@ def tree_rollup(relations: DataFrame, inherits: DataFrame) -> DataFrame:
             (F.count("*") - 1).alias("descendants"),
         )
     )
-    return relations.select("relation_id", known_rows.alias("_own")).join(sums, "relation_id").select(
+    return roots.select("relation_id", known_rows.alias("_own")).join(sums, "relation_id").select(
         "relation_id", "descendants", F.coalesce("_rows", "_own").alias("row_estimate"),
         "total_size", "table_size", "index_size", "toast_size",
     )
@@ -287,9 +294,9 @@ def view_dependencies(edges: DataFrame, relations: DataFrame, direction: str) ->
     return distinct.join(others, far).select(F.col(near).alias("relation_id"), "name", "kind")
 
 
-def view_lineage(edges: DataFrame) -> DataFrame:
-    """Everything a view depends on, over any number of views."""
-    return closure(edges, "view_id", "source_id").select(
+def view_lineage(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Everything a view depends on, over any number of views; of the views in ``of``, if given."""
+    return closure(edges, "view_id", "source_id", starts=of).select(
         F.col("node").alias("view_id"), F.col("reached").alias("source_id"), "depth"
     )
 

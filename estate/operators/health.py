@@ -7,6 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate.session import materialize
+from estate.sources.snapshot import error_of
+
+# Fixed values, as reports show them.
 # What each engine lacks, with the reason a report shows. An engine without an
 # entry for a section answers it.
 ENGINES = ("postgresql", "redshift", "duckdb")
@@ -63,24 +67,27 @@ def health(
 ) -> DataFrame:
     """One row per system, target and figure, in the given order of systems.
 
-    Each section builds a frame with ``target`` and numeric figures. A section
-    that cannot be built costs one error row and leaves the others alone; a NULL
-    figure means unknown, not zero.
+    Each section builds a frame with ``target`` and numeric figures. Each is run and
+    written to the shared folder by itself: a section that fails, when built or when
+    run, costs one row with the type and the text of its error and leaves the others
+    alone. ``reachable`` is a figure like any other, 1 for every target that answered
+    and 0 for a section that did not. A NULL figure means unknown, not zero.
     """
     out = None
     for position, (system, build) in enumerate(sections, start=1):
+        head = [F.lit(position).alias("position"), F.lit(system).alias("system"), "target"]
         try:
-            rows = _figures(build()).select(
-                F.lit(position).alias("position"), F.lit(system).alias("system"), "target",
-                F.lit(True).alias("available"), "figure", "value",
-                F.lit(None).cast("string").alias("error"),
-            )
+            found = _figures(build())
+            answered = found.select("target", F.lit("reachable").alias("figure"), F.lit(1.0).alias("value")).distinct()
+            rows = materialize(found.unionByName(answered).select(
+                *head, F.lit(True).alias("available"), "figure", "value",
+                F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("message"),
+            ), "section")
         except Exception as problem:  # noqa: BLE001 - any failure is a report row
-            rows = spark.range(1).select(
-                F.lit(position).alias("position"), F.lit(system).alias("system"),
-                F.lit(None).cast("string").alias("target"), F.lit(False).alias("available"),
-                F.lit(None).cast("string").alias("figure"), F.lit(None).cast("double").alias("value"),
-                F.lit(type(problem).__name__).alias("error"),
+            error, message = error_of(problem)
+            rows = spark.range(1).withColumn("target", F.lit(None).cast("string")).select(
+                *head, F.lit(False).alias("available"), F.lit("reachable").alias("figure"),
+                F.lit(0.0).alias("value"), F.lit(error).alias("error"), F.lit(message).alias("message"),
             )
         out = rows if out is None else out.unionByName(rows)
     return out

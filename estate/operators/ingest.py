@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from estate.functions.times import at
 from estate.operators.connections import first_of
 from estate.plans.shapes import hot_join
 
+# Keys of a sync state as the service writes them.
 _COUNT = "cursor_record_count"
 _XID_KEYS = ("xmin_xid_value", "xmin_raw_value")
 
@@ -276,18 +279,23 @@ _FIELD_RANGES = {
 _FIVE = ("minute", "hour", "day", "month", "weekday")
 
 
-def _field_pattern(name: str) -> str:
+def _item_pattern(name: str) -> str:
     value = _FIELD_RANGES[name]
     item = rf"(?:\*|{value}(?:-{value})?)(?:/[1-9][0-9]*)?"
     if name == "day":
         item = rf"(?:l|{item})"
     if name == "weekday":
         item = rf"(?:l[0-7]|{value}(?:l|#[1-5])|{item})"
-    return rf"{item}(?:,{item})*"
+    return rf"(?i)^{item}$"
 
 
-def _cron_pattern(fields: Sequence[str]) -> str:
-    return r"(?i)^" + " ".join(_field_pattern(f) for f in fields) + "$"
+def _fields_fit(parts: Column, names: Sequence[str]) -> Column:
+    """Whether there are just these fields and every item of each is valid."""
+    def fits(n: int, pattern: str) -> Column:
+        items = F.split(F.get(parts, F.lit(n)), ",")
+        return F.coalesce(F.forall(items, lambda item: item.rlike(pattern)), F.lit(False))
+
+    return reduce(and_, (fits(n, _item_pattern(name)) for n, name in enumerate(names)), F.size(parts) == len(names))
 
 
 def split_cron(col: Column | str) -> tuple[Column, Column]:
@@ -303,15 +311,12 @@ def split_cron(col: Column | str) -> tuple[Column, Column]:
 
 def is_cron(expression: Column) -> Column:
     """Five, six or seven valid fields; six and seven start with seconds."""
-    plain = F.replace(expression, F.lit("?"), F.lit("*"))
-    shaped = (
-        plain.rlike(_cron_pattern(_FIVE))
-        | plain.rlike(_cron_pattern(("second", *_FIVE)))
-        | plain.rlike(_cron_pattern(("second", *_FIVE, "year")))
+    parts = F.split(F.replace(expression, F.lit("?"), F.lit("*")), " ")
+    return (
+        _fields_fit(parts, _FIVE)
+        | _fields_fit(parts, ("second", *_FIVE))
+        | _fields_fit(parts, ("second", *_FIVE, "year"))
     )
-    # Naming every value of every field stays well below this; the patterns repeat
-    # groups, so they are kept away from texts of any length.
-    return F.when(F.length(plain) <= 4000, shaped).otherwise(F.lit(False))
 
 
 def schedule_report(connections: DataFrame) -> DataFrame:

@@ -134,6 +134,25 @@ def _rename(kind: Column, old: Column, new: Column, tables_only: Column) -> Colu
                     T.quote(new), F.lit(";"))
 
 
+def _looked_up(entries: DataFrame, current: DataFrame, kept: str, freed: str) -> DataFrame:
+    """``entries`` with the ``kind`` of the object named ``kept`` and whether ``freed`` is ``_taken``.
+
+    Both names of an entry go into one lookup, so ``current`` is read once.
+    """
+    now = current.select("target", "schema_name", F.col("relation_name").alias("_name"), object_kind().alias("_kind"))
+    both = F.explode(F.array(
+        F.struct(F.lit(True).alias("own"), F.col(kept).alias("name")),
+        F.struct(F.lit(False).alias("own"), F.col(freed).alias("name")),
+    ))
+    return (
+        entries.withColumn("_side", both).withColumn("_name", F.col("_side.name"))
+        .join(now.where("_kind is not null"), ["target", "schema_name", "_name"], "left")
+        .groupBy(*entries.columns)
+        .agg(F.max(F.when(F.col("_side.own"), F.col("_kind"))).alias("kind"),
+             F.max(~F.col("_side.own") & F.col("_kind").isNotNull()).alias("_taken"))
+    )
+
+
 def rename_plan(
     found: DataFrame, current: DataFrame, redshift: Sequence[str] = ()
 ) -> DataFrame:
@@ -142,14 +161,8 @@ def rename_plan(
     ``action`` is rename, skip:vanished or skip:collision (the new name is taken).
     Targets in ``redshift`` rename everything with ALTER TABLE.
     """
-    now = current.withColumn("_kind", object_kind()).where(F.col("_kind").isNotNull())
-    taken = now.select("target", "schema_name", F.col("relation_name").alias("new_name"),
-                       F.lit(True).alias("_taken"))
-    plan = (
-        found.select(*_NAME, F.concat("relation_name", F.lit(SUFFIX)).alias("new_name"))
-        .join(now.select(*_NAME, F.col("_kind").alias("kind")), _NAME, "left")
-        .join(taken, ["target", "schema_name", "new_name"], "left")
-    )
+    named = found.select(*_NAME, F.concat("relation_name", F.lit(SUFFIX)).alias("new_name"))
+    plan = _looked_up(named, current, "relation_name", "new_name")
     action = (
         F.when(F.col("kind").isNull(), F.lit("skip:vanished"))
         .when(F.col("_taken"), F.lit("skip:collision"))
@@ -172,10 +185,6 @@ def revert_plan(log: DataFrame, current: DataFrame, redshift: Sequence[str] = ()
     """
     key = ["target", "schema_name", "old_name", "new_name"]
     entries = log.groupBy(*key).agg(F.min("dry_run").alias("dry_run"))
-    now = current.withColumn("kind", object_kind()).where(F.col("kind").isNotNull())
-    have_new = now.select("target", "schema_name", F.col("relation_name").alias("new_name"), "kind")
-    have_old = now.select("target", "schema_name", F.col("relation_name").alias("old_name"),
-                          F.lit(True).alias("_taken"))
     blank = [F.coalesce(F.col(c), F.lit("")) == "" for c in key[1:]]
     action = (
         F.when(blank[0] | blank[1] | blank[2], F.lit("skip:malformed"))
@@ -186,8 +195,7 @@ def revert_plan(log: DataFrame, current: DataFrame, redshift: Sequence[str] = ()
     tables_only = F.col("target").isin(*redshift) if redshift else F.lit(False)
     statement = _rename(F.col("kind"), F.col("new_name"), F.col("old_name"), tables_only)
     return (
-        entries.join(have_new, ["target", "schema_name", "new_name"], "left")
-        .join(have_old, ["target", "schema_name", "old_name"], "left")
+        _looked_up(entries, current, "new_name", "old_name")
         .withColumn("action", action)
         .select(*key, "dry_run", "action",
                 F.when(F.col("action") == "revert", statement).alias("statement"))

@@ -33,6 +33,15 @@ COLUMN_SPELLINGS = {
     "session_id": ("session_id", "pid"),
 }
 
+# Spellings of the engine's own statement statistics.
+STATISTICS_SPELLINGS = {
+    "statement": ("query",),
+    "calls": ("calls",),
+    "total_s": ("total_exec_time", "total_time"),
+    "mean_s": ("mean_exec_time", "mean_time"),
+    "max_s": ("max_exec_time", "max_time"),
+}
+
 
 def pick(
     df: DataFrame, names: Sequence[str], default: object | None = None, required: bool = False
@@ -77,9 +86,14 @@ def is_live(df: DataFrame) -> Column:
     return F.col("duration_s").isNull()
 
 
-def with_elapsed(log: DataFrame, as_of: datetime) -> DataFrame:
+def clock(as_of: datetime | None) -> Column:
+    """The given time, or the time of the batch."""
+    return at(as_of) if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+
+
+def with_elapsed(log: DataFrame, as_of: datetime | None) -> DataFrame:
     """Add ``is_live`` and ``elapsed_s``."""
-    start, now = F.col("start_time"), at(as_of)
+    start, now = F.col("start_time"), clock(as_of)
     ends = seconds_between(start, F.coalesce("end_time", now)) if "end_time" in log.columns else (
         seconds_between(start, now)
     )
@@ -94,10 +108,10 @@ def _newest_first(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     )
 
 
-def triage_filter(log: DataFrame, as_of: datetime, min_s: int = 60, hours: float = 6) -> DataFrame:
+def triage_filter(log: DataFrame, as_of: datetime | None, min_s: int = 60, hours: float = 6) -> DataFrame:
     """Rows worth a look: slow and live or recent, or failed and recent."""
     timed = with_elapsed(log, as_of)
-    recent = F.col("start_time") >= at(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours).cast("int"))
+    recent = F.col("start_time") >= clock(as_of) - F.expr(f"INTERVAL '{hours * 3600:.6f}' SECOND")
     failed = F.coalesce(F.lower("status").isin(*FAILED_STATES), F.lit(False))
     slow = F.col("elapsed_s") >= min_s
     return timed.where((slow & (F.col("is_live") | recent)) | (failed & recent))
@@ -138,11 +152,12 @@ def statement_stats(log: DataFrame, min_s: float = 0, n: int = 20) -> DataFrame:
     """Calls and total, mean and longest seconds per normalised statement.
 
     ``log`` has ``elapsed_ms``; statements whose longest call stays below
-    ``min_s`` are left out.
+    ``min_s`` are left out. Statements are told apart by their whole text; only what
+    is shown of them is cut.
     """
     seconds = F.col("elapsed_ms") / F.lit(1000.0)
     stats = (
-        log.groupBy("target", T.fold_sql("query_text").alias("statement"))
+        log.groupBy("target", T.fold_space("query_text").alias("statement"))
         .agg(
             F.count("*").alias("calls"),
             F.sum(seconds).alias("total_s"),
@@ -151,7 +166,25 @@ def statement_stats(log: DataFrame, min_s: float = 0, n: int = 20) -> DataFrame:
         )
         .where(F.col("max_s") >= min_s)
     )
-    return top_k(stats, ["target"], [F.col("max_s").desc(), F.col("statement")], n)
+    top = top_k(stats, ["target"], [F.col("max_s").desc(), F.col("statement")], n)
+    return top.withColumn("statement", T.fold_sql("statement"))
+
+
+def engine_statistics(stats: DataFrame, min_s: float = 0, n: int = 20) -> DataFrame:
+    """The slowest statements per target from statistics the engine has aggregated.
+
+    Takes both spellings of the columns, times in milliseconds. Rows are not summed
+    again; ties are in the order of calls and of the whole statement.
+    """
+    spell = STATISTICS_SPELLINGS
+    seconds = {c: pick(stats, spell[c], required=True) / F.lit(1000.0) for c in ("total_s", "mean_s", "max_s")}
+    wanted = stats.select(
+        "target", T.fold_space(pick(stats, spell["statement"], required=True)).alias("statement"),
+        pick(stats, spell["calls"], required=True).cast("bigint").alias("calls"),
+        *[c.alias(name) for name, c in seconds.items()],
+    ).where(F.col("max_s") >= min_s)
+    order = [F.col("max_s").desc(), F.col("calls").desc(), F.col("statement")]
+    return top_k(wanted, ["target"], order, n).withColumn("statement", T.fold_sql("statement"))
 
 
 def classify_log(log: DataFrame, text: str = "query_text") -> DataFrame:

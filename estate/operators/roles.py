@@ -30,22 +30,22 @@ _GROUP_DEFAULTS = {
 }
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """Every role a member belongs to, at any depth.
+def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Every role a member belongs to, at any depth; of the members in ``of``, if given.
 
     ``depth`` is the shortest, ``via`` the role just before the ancestor on a
     shortest path (smallest name on ties), ``inherit`` whether some path passes
     privileges on end to end.
     """
-    return closure(edges, "member", "role", "inherit").select(
+    return closure(edges, "member", "role", "inherit", of).select(
         F.col("node").alias("member"), F.col("reached").alias("role"), "depth",
         F.col("flag").alias("inherit"), "via",
     )
 
 
-def descendants(edges: DataFrame) -> DataFrame:
-    """Every member a role has, at any depth."""
-    return closure(edges, "role", "member", "inherit").select(
+def descendants(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Every member a role has, at any depth; of the roles in ``of``, if given."""
+    return closure(edges, "role", "member", "inherit", of).select(
         F.col("node").alias("role"), F.col("reached").alias("member"), "depth",
         F.col("flag").alias("inherit"), "via",
     )
@@ -194,17 +194,25 @@ def describe_roles(
     relations: DataFrame,
     namespaces: DataFrame,
     direct_only: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """The whole report for all roles, one row per ``(role, section, item)``.
 
-    Filter on ``role`` for one role, or aggregate sections as needed; nothing is
-    collected into per-role lists, as a role may hold any number of grants.
+    With ``only``, a frame of role names, the report and the walks of the role graph
+    are for those alone. Nothing is collected into per-role lists, as a role may hold
+    any number of grants.
     """
-    up = ancestors(edges)
+    up = down = ancestors(edges, only)
+    if only is not None:
+        down = descendants(edges, only).select("member", "role", "depth", "inherit", "via")
+        one = only.select(F.col(only.columns[0]).alias("role")).distinct()
+        roles = roles.join(one, "role", "left_semi")
     held = effective_privileges(
         privilege_closure(roles, None if direct_only else up, public=False), acl
     )
     owned = owned_summary(relations, namespaces)
+    if only is not None:
+        owned = owned.join(one.withColumnRenamed("role", "owner"), "owner", "left_semi")
 
     def section(df: DataFrame, label: str, role: str, item, detail) -> DataFrame:
         return df.select(
@@ -217,7 +225,7 @@ def describe_roles(
     parts = [
         section(roles, "login", "role", F.lit("can_login"), F.col("can_login").cast("string")),
         section(up, "member_of", "member", F.col("role"), chain),
-        section(up, "members", "role", F.col("member"),
+        section(down, "members", "role", F.col("member"),
                 F.concat_ws(" ", F.lit("depth"), F.col("depth").cast("string"), passes)),
         section(held, "privileges", "role", F.concat_ws(":", "scope", "object_name"),
                 F.concat_ws(" ", "privilege", F.lit("via"), "via")),

@@ -1,11 +1,14 @@
 """Transitive closure of an edge table by semi-naive rounds.
 
 Every round joins the pairs found last with the edges, reduces the result to one row
-per pair and flag, drops what is known and writes the rest to the shared folder.
-Where paths of two edges are few, the edges are extended by them first: that halves
-the rounds, and with them how often the known pairs are read again, without blowing
-up dense graphs. The cost follows the number of pairs, not the number of paths, and
-cycles end because no new pair is found. The driver sees one row count per round.
+per pair and flag, drops what is known and writes the rest to the shared folder. The
+cost follows the number of pairs, not the number of paths, and cycles end because no
+new pair is found. With given starts only their pairs are ever made. The plan is the
+same at every size. The driver sees one row count per round.
+
+A pair a round finds lies one edge behind a pair of the round before. It is known
+already only from rounds whose pairs are no longer than it, so all of them are looked
+up; what is written is removed again with ``estate.session.clear_scratch``.
 """
 
 from __future__ import annotations
@@ -15,11 +18,6 @@ from pyspark.sql import functions as F
 
 from estate.session import scratch_path
 
-# Two-edge paths may be at most this many times the edges to be worth keeping.
-_GROWTH = 2
-# With this many known pairs, a round that finds few no longer shuffles all of them.
-_MANY = 10_000_000
-_FEW = 16
 _COLUMNS = ("node", "reached", "flag", "depth", "via")
 
 
@@ -45,14 +43,6 @@ def _extend(found: DataFrame, step: DataFrame) -> DataFrame:
     )
 
 
-def _two_hop_rows(step: DataFrame) -> int:
-    """Rows joining the table with itself would make, from the degrees alone."""
-    into = step.groupBy(F.col("reached").alias("_at")).agg(F.count("*").alias("_in"))
-    out = step.groupBy(F.col("node").alias("_at")).agg(F.count("*").alias("_out"))
-    row = into.join(out, "_at").agg(F.sum(F.col("_in") * F.col("_out"))).first()
-    return int(row[0] or 0)
-
-
 def _write(df: DataFrame, path: str) -> int:
     """Write to the shared folder; the row count comes along without another job."""
     seen = Observation()
@@ -60,12 +50,16 @@ def _write(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> DataFrame:
+def closure(
+    edges: DataFrame, src: str, dst: str, flag: str | None = None, starts: DataFrame | None = None
+) -> DataFrame:
     """All ``(node, reached)`` pairs with ``depth``, ``via`` and ``flag``.
 
     ``depth`` is the length of a shortest path, ``via`` the smallest name just
     before ``reached`` on a shortest path, and ``flag`` is true when some path
-    has it on every edge. A node never reaches itself.
+    has it on every edge. A node never reaches itself. ``starts`` has the nodes
+    to start from in its first column; without it every node is one. Runs its
+    rounds when called.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "closure")
@@ -85,25 +79,17 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
     def read(*names: str) -> DataFrame:
         return spark.read.schema(schema).parquet(*[f"{root}/{n}" for n in names])
 
-    name = "step-1"
-    size = _write(single, f"{root}/{name}")
-    if size and _two_hop_rows(read(name)) <= _GROWTH * size:
-        step, name = read(name), "step-2"
-        size = _write(_shortest(step.unionByName(_extend(step, step))), f"{root}/{name}")
-    step, names, total = read(name), [name], size
+    size = _write(single, f"{root}/step")
+    step, names = read("step"), ["step"]
+    if starts is not None:
+        wanted = starts.select(F.col(starts.columns[0]).alias("node")).distinct()
+        names = ["round-0"]
+        size = _write(step.join(wanted, "node", "left_semi"), f"{root}/round-0")
     while size:
         known = read(*names).select(
             F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_k")
         )
         reached = _shortest(_extend(read(names[-1]), step))
-        if total > _MANY and size * _FEW < total:
-            # Few candidates: written first, they filter the known pairs where those
-            # lie, by broadcast if their measured size allows it.
-            candidates = f"reached-{len(names)}"
-            _write(reached, f"{root}/{candidates}")
-            reached = read(candidates)
-            pairs = reached.select(F.col("node").alias("_n"), F.col("reached").alias("_r"))
-            known = known.join(pairs, ["_n", "_r"], "left_semi")
         # A known pair only comes back to turn its flag from false to true.
         fresh = reached.join(
             known,
@@ -112,7 +98,6 @@ def closure(edges: DataFrame, src: str, dst: str, flag: str | None = None) -> Da
         )
         names.append(f"round-{len(names)}")
         size = _write(fresh, f"{root}/{names[-1]}")
-        total += size
     pairs = read(*names)
     return (
         pairs.groupBy("node", "reached")

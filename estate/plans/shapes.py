@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 # Above this the planner stops pruning row_number() filters before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_LIMIT = 1000
-# Sub-groups of a group in a big top-k; each holds a small share of a hot group.
-_SUBGROUPS = 4096
+# Sub-groups of a group in the passes of a big top-k; each pass leaves n rows of each.
+_SUBGROUPS = (4096, 256, 16)
 _SALTS = 8
 
 
@@ -31,17 +31,15 @@ def top_k(
     """The first ``n`` rows of every group, with their position.
 
     For small ``n`` the planner keeps only ``n`` rows per group and task before
-    the shuffle. For larger ``n`` a first pass over salted sub-groups does the
-    same, so no task ever sorts a whole hot group.
+    the shuffle. For larger ``n``, passes over ever fewer sub-groups do the same, so
+    no task sorts more than a small multiple of ``n`` rows of a hot group.
     """
     if n > _PRUNED_LIMIT:
-        salted = df.withColumn("_salt", spread(_SUBGROUPS, *df.columns))
-        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_pos", F.row_number().over(inner))
-            .where(F.col("_pos") <= n)
-            .drop("_salt", "_pos")
-        )
+        df = df.withColumn("_salt", spread(_SUBGROUPS[0], *df.columns))
+        for salts in _SUBGROUPS:
+            inner = Window.partitionBy(*keys, F.col("_salt") % salts).orderBy(*order)
+            df = df.withColumn("_pos", F.row_number().over(inner)).where(F.col("_pos") <= n).drop("_pos")
+        df = df.drop("_salt")
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(rank, position).where(F.col(rank) <= n)
 

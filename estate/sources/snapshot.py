@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from estate.functions.text import classify_sql
+from estate.operators.storage import page
 from estate.schemas import schema_of
+from estate.session import materialize
 
+# What a report keeps of an error's text.
+ERROR_WIDTH = 160
 
-def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Run a read query over named tables, exactly as it is written."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+
+def error_of(problem: Exception) -> tuple[str, str]:
+    """Type and first characters of what went wrong."""
+    return type(problem).__name__, " ".join(str(problem).split())[:ERROR_WIDTH]
+
+
+def run_sql(
+    spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], write: bool = False
+) -> DataFrame:
+    """Run a query over named tables, exactly as it is written.
+
+    A statement that is not plainly a read is refused unless ``write`` is given. The
+    names exist only while the statement is resolved; a name that is already taken
+    in the session is refused, so two callers never see each other's tables.
+    """
+    kind = spark.range(1).select(classify_sql(F.lit(sql))).first()[0]
+    if kind != "read" and not write:
+        raise ValueError("the statement may write; pass write=True to run it")
+    made: list[str] = []
+    try:
+        for name, df in tables.items():
+            if spark.catalog.tableExists(name):
+                raise ValueError(f"the name {name!r} is taken in this session")
+            df.createTempView(name)
+            made.append(name)
+        return spark.sql(sql)
+    finally:
+        for name in made:
+            spark.catalog.dropTempView(name)
+
+
+def run_sql_page(
+    spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], order_by: Sequence[str], limit: int,
+    number: int = 1,
+) -> DataFrame:
+    """One page of a read query, with ``has_more``; the query is wrapped, not changed."""
+    return page(run_sql(spark, sql, tables), order_by, limit, number)
 
 
 def read_snapshot(
@@ -45,15 +81,20 @@ def read_optional(
 ) -> tuple[DataFrame, bool]:
     """A source that may be absent or forbidden.
 
-    Absent gives an empty typed frame and ``False``, which means unknown; a source
-    that is there but empty gives ``True``. Nothing is read to find out.
+    Absent or forbidden gives an empty typed frame and ``False``, which means unknown;
+    a source that is there but empty gives ``True``. Its files are listed and one row is
+    looked at, so a refusal that only shows on reading is found; any other failure is
+    raised.
     """
     try:
         df = spark.read.schema(schema).parquet(path)
-        df.schema  # resolved now, so a missing path shows here
+        df.isEmpty()
         return df, True
-    except PySparkException:
-        return spark.createDataFrame([], schema), False
+    except Exception as problem:
+        text = str(problem)
+        if any(sign in text for sign in ("PATH_NOT_FOUND", "Permission denied", "AccessControlException", "AccessDenied")):
+            return spark.createDataFrame([], schema), False
+        raise
 
 
 def union_targets(
@@ -61,16 +102,18 @@ def union_targets(
 ) -> tuple[DataFrame | None, DataFrame]:
     """The same report of every target as one frame, failures as a second one.
 
-    A target given as a function is built here; if that fails, the others still
-    report. Columns a target lacks are NULL.
+    A target given as a function is built here. Each report is run and written to the
+    shared folder, so one that fails, when built or when run, leaves the others alone;
+    the second frame has the type and the text of its error. Columns a target lacks
+    are NULL.
     """
     rows: DataFrame | None = None
-    failed: list[tuple[str, str]] = []
+    failed: list[tuple[str, str, str]] = []
     for target, report in reports.items():
         try:
             df = report() if callable(report) else report
-            df = df.withColumn("target", F.lit(target))
+            df = materialize(df.withColumn("target", F.lit(target)), "target")
             rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
-        except PySparkException as problem:
-            failed.append((target, type(problem).__name__))
-    return rows, spark.createDataFrame(failed, "target string, error string")
+        except Exception as problem:  # noqa: BLE001 - any failure is a report row
+            failed.append((target, *error_of(problem)))
+    return rows, spark.createDataFrame(failed, "target string, error string, message string")

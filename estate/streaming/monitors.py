@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from estate.operators.querylog import triage_filter
-from estate.session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -36,17 +35,21 @@ def metric_stream(points: DataFrame, period: str = "1 day", delay: str = "1 hour
 
 
 def alert_stream(
-    log: DataFrame, as_of: datetime, min_s: int = 60, hours: int = 6, delay: str = "1 hour"
+    log: DataFrame, as_of: datetime | None = None, min_s: int = 60, hours: float = 6, delay: str = "1 hour"
 ) -> DataFrame:
     """Slow and failed statements of a growing log, each reported once.
 
-    The filter is the one of the batch triage and keeps no state; only the ids of
-    alerts are remembered, for as long as the watermark allows repeats.
+    Without ``as_of`` the clock is that of each micro-batch, so the look-back moves on
+    and a statement that begins later is measured from its own time. The filter is the
+    one of the batch triage and keeps no state; only the ids of alerts are remembered,
+    for as long as the watermark allows repeats. The watermark follows all rows, not
+    alerts alone. A live statement is looked at when its row arrives: a source that
+    hands on its live set again, as session snapshots do, has it reported in the first
+    batch in which it is slow.
     """
+    timed = log.withColumn("t", F.col("start_time").cast("timestamp")).withWatermark("t", delay)
     return (
-        triage_filter(log, as_of, min_s, hours)
-        .withColumn("t", F.col("start_time").cast("timestamp"))
-        .withWatermark("t", delay)
+        triage_filter(timed, as_of, min_s, hours)
         .dropDuplicatesWithinWatermark(["query_id"])
         .drop("t")
     )
@@ -76,20 +79,20 @@ def job_health_stream(
     )
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
+def run_available(stream: DataFrame, path: str) -> DataFrame:
     """Process everything there is, then return the result as a batch frame.
 
-    State and output live in the shared folder, so a restarted query goes on where
-    it stopped and files are counted once.
+    Output and state live below ``path``, which the caller names and all executors
+    share. Called again with the same path the query goes on where it stopped: files
+    already counted are not read again, and the frame holds the rows of all calls.
     """
-    root = scratch_path(stream.sparkSession, label)
     query = (
         stream.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/state")
+        .option("path", f"{path}/rows")
+        .option("checkpointLocation", f"{path}/state")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -181,6 +181,12 @@ def _describe(spark, d):
     return D.describe_relations({"columns": cols, "constraints": cons}, missing)
 
 
+def _lineage(spark, d):
+    """Views in layers: each order reads the one with an eighth of its key."""
+    return D.view_lineage(X.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("view_id"), X.half("o_orderkey", 8).alias("source_id")))
+
+
 QUERIES = {
     "d1_resolve_targets": _targets,
     "d2_column_report": lambda s, d: D.column_report(_columns(s, d), _constraints(s, d)),
@@ -193,6 +199,7 @@ QUERIES = {
     "d9_trigger_report": lambda s, d: D.trigger_report(_triggers(s, d)),
     "d10_policy_report": _policy,
     "d11_upstream": lambda s, d: D.view_dependencies(X.edges(s, d), X.relations(s, d), "upstream"),
+    "d11_lineage": _lineage,
     "d11_downstream": lambda s, d: D.view_dependencies(X.edges(s, d), X.relations(s, d), "downstream"),
     "d12_view_report": _views,
     "d13_schema_contents": lambda s, d: D.schema_contents(X.relations(s, d)),
@@ -308,6 +315,12 @@ SELECT CAST(floor(o.o_orderkey / 4) AS BIGINT) AS relation_id, concat('p', CAST(
     "d11_upstream": with_fx("fx_relations", f"""
 SELECT DISTINCT l_suppkey AS relation_id, {_Q.format(a='r')} AS name, {_LABEL} AS kind
 FROM lineitem JOIN fx_relations r ON r.relation_id = l_partkey WHERE relkind <> 'S' AND l_suppkey <> l_partkey"""),
+    "d11_lineage": """
+WITH RECURSIVE up AS (
+  SELECT o_orderkey AS view_id, CAST(floor(o_orderkey / 8) AS BIGINT) AS source_id, 1 AS depth FROM orders
+  UNION SELECT u.view_id, CAST(floor(o.o_orderkey / 8) AS BIGINT), u.depth + 1
+  FROM up u JOIN orders o ON o.o_orderkey = u.source_id WHERE o.o_orderkey > 0)
+SELECT view_id, source_id, min(depth) AS depth FROM up WHERE view_id <> source_id GROUP BY 1, 2""",
     "d11_downstream": with_fx("fx_relations", f"""
 SELECT DISTINCT l_partkey AS relation_id, {_Q.format(a='r')} AS name, {_LABEL} AS kind
 FROM lineitem JOIN fx_relations r ON r.relation_id = l_suppkey WHERE relkind IN ('v', 'm') AND l_suppkey <> l_partkey"""),

@@ -98,6 +98,8 @@ def _schedules(spark, d):
     cron = (
         F.when(key % 8 == 0, F.concat(F.lit("0 "), minute, F.lit(" "), hour, F.lit(" * * ?")))
         .when(key % 8 == 1, F.concat(F.lit("0  "), minute, F.lit(" "), hour, F.lit(" ? * MON-FRI Europe/Paris ")))
+        # One in five of these is a valid list of thousands of characters.
+        .when(key % 40 == 10, F.concat(F.repeat(F.concat(minute, F.lit(",")), F.lit(2500)), minute, F.lit(" */6 1,15 * *")))
         .when(key % 8 == 2, F.concat(minute, F.lit(" */6 1,15 * *")))
         .when(key % 8 == 3, F.concat(F.lit("0 "), minute, F.lit(" "), hour, F.lit(" * * ? Mars/Base")))
         .when(key % 8 == 4, F.concat(F.lit("0 "), minute, F.lit(" "), hour, F.lit(" L * ? 2030 UTC")))
@@ -291,7 +293,7 @@ WITH c AS (
   SELECT c_custkey AS k, CAST(c_custkey % 70 AS VARCHAR) AS m, CAST(c_custkey % 24 AS VARCHAR) AS h, c_custkey % 8 AS f FROM customer),
 e AS (
   SELECT *, CASE f WHEN 0 THEN concat('0 ', m, ' ', h, ' * * ?') WHEN 1 THEN concat('0 ', m, ' ', h, ' ? * MON-FRI')
-    WHEN 2 THEN concat(m, ' */6 1,15 * *') WHEN 3 THEN concat('0 ', m, ' ', h, ' * * ? Mars/Base')
+    WHEN 2 THEN concat(CASE WHEN k % 40 = 10 THEN repeat(concat(m, ','), 2500) ELSE '' END, m, ' */6 1,15 * *') WHEN 3 THEN concat('0 ', m, ' ', h, ' * * ? Mars/Base')
     WHEN 4 THEN concat('0 ', m, ' ', h, ' L * ? 2030') WHEN 5 THEN concat(m, ' ', h) END AS expression,
     CASE WHEN f <= 5 THEN 'cron' WHEN f = 6 THEN CASE WHEN k % 16 = 6 THEN 'basic' ELSE 'manual' END END AS schedule_type,
     CASE WHEN k % 16 = 1 THEN 'Asia/Tokyo' WHEN f = 1 THEN 'Europe/Paris' WHEN f = 4 THEN 'UTC' END AS time_zone FROM c)

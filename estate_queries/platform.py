@@ -93,8 +93,13 @@ def _health(spark, d):
     def broken():
         return X.table(spark, d, "orders").select("no_such_column")
 
-    out = H.health(spark, [("databases", databases), ("ingestion", ingestion), ("bi", broken), ("cloud", storage)])
-    return _rounded(out, "value")
+    def torn():
+        gone = F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("the source went away")).cast("double"))
+        return X.table(spark, d, "orders").select(F.lit("lake").alias("target"), gone.alias("orders"))
+
+    out = H.health(spark, [("databases", databases), ("ingestion", ingestion), ("bi", broken), ("lake", torn),
+                           ("cloud", storage)])
+    return _rounded(out.withColumn("message", F.substring_index("message", "]", 1)), "value")
 
 
 def _coverage(spark, d):
@@ -150,7 +155,8 @@ def _target_report(spark, d):
     rows, errors = _targets(spark, d)
     found = rows.groupBy("target").agg(
         F.count("*").alias("relations"), F.count("size_bytes").alias("sized"), F.count("row_estimate").alias("estimated"))
-    return found.join(errors, "target", "full")
+    told = errors.withColumn("message", F.substring_index("message", "]", 1))
+    return found.join(told, "target", "full")
 
 
 def _page_lines(spark, d):
@@ -181,8 +187,9 @@ def _pages(spark, d):
 def _missing(spark, d):
     key = F.col("o_orderkey")
     res = X.half("o_orderkey", 6)
-    listing = X.table(spark, d, "orders").where("o_orderstatus <> 'O'").select(
-        X.name("res", res).alias("resource"), (key % 6).alias("page"), F.lit(10).alias("page_size"),
+    # Every other page is there.
+    listing = X.table(spark, d, "orders").select(
+        X.name("res", res).alias("resource"), (key % 6 * 2).alias("page"), F.lit(10).alias("page_size"),
         F.when(res % 2 == 0, res % 70).alias("count"), F.when(res % 3 == 0, F.lit(45)).alias("total"),
         F.when(res % 5 == 0, res % 8).alias("total_pages"))
     return pages.missing_pages(listing)
@@ -258,7 +265,7 @@ def _metric_stream(spark, d):
     kind = F.col("event_type")
     points = _stream(spark, d).select(X.name("workgroup:", F.col("user_id") % 5).alias("scope"),
                                       kind.alias("metric"), "ts", "value")
-    return _rounded(monitors.run_available(monitors.metric_stream(points), "metrics"), "avg")
+    return _rounded(monitors.run_available(monitors.metric_stream(points), scratch_path(spark, "metrics")), "avg")
 
 
 def _alert_stream(spark, d):
@@ -268,7 +275,7 @@ def _alert_stream(spark, d):
         F.when(kind == "error", "Failed").when(kind == "view", "running").otherwise("success").alias("status"),
         F.col("ts").alias("start_time"), F.when(kind != "view", F.floor("value").cast("bigint")).alias("duration_s"))
     alerts = monitors.alert_stream(log, CLOCK, min_s=60, hours=48)
-    return monitors.run_available(alerts, "alerts").select("query_id", "user_name", "elapsed_s", "is_live")
+    return monitors.run_available(alerts, scratch_path(spark, "alerts")).select("query_id", "user_name", "elapsed_s", "is_live")
 
 
 def _job_stream(spark, d):
@@ -276,10 +283,19 @@ def _job_stream(spark, d):
     jobs = _stream(spark, d).select(
         F.col("ts").alias("start_time"),
         F.when(kind == "error", "failed").when(kind == "view", "running").otherwise("succeeded").alias("status"))
-    return monitors.run_available(monitors.job_health_stream(jobs), "jobs")
+    return monitors.run_available(monitors.job_health_stream(jobs), scratch_path(spark, "jobs"))
+
+
+def _adhoc_page(spark, d):
+    tables = {n: X.table(spark, d, n) for n in ("customer", "orders")}
+    return snapshot.run_sql_page(spark, BY_CUSTOMER, tables, ["c_custkey"], limit=15, number=2)
+
 
+BY_CUSTOMER = """
+SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
 
 QUERIES = {
+    "a1_adhoc_page": _adhoc_page,
     "a1_adhoc_revenue": _adhoc(REVENUE, "customer", "orders", "lineitem", "nation"),
     "a1_adhoc_windowed": _adhoc(WINDOWED, "customer", "orders"),
     "a2_read_snapshot": _snapshot,
@@ -324,6 +340,9 @@ _PLAIN = "SELECT * FROM fx_metric_points"
 _LACK_SQL = " UNION ALL ".join(f"SELECT '{e}' AS engine, '{s}' AS section" for e, s in sorted(H.LACKS))
 
 ORACLE = {
+    "a1_adhoc_page": f"""
+WITH q AS ({BY_CUSTOMER})
+SELECT *, (SELECT count(*) FROM q) > 30 AS has_more FROM q ORDER BY c_custkey LIMIT 15 OFFSET 15""",
     "a1_adhoc_revenue": REVENUE,
     "a1_adhoc_windowed": WINDOWED,
     "a2_read_snapshot": with_fx("fx_relations", "SELECT * FROM fx_relations"),
@@ -335,14 +354,15 @@ FROM fx_relations WHERE relkind IN ('r', 'p', 'm') AND target <> 'wh1'"""),
 SELECT target, CASE WHEN target <> 'wh1' THEN count(*) END AS relations,
        CASE target WHEN 'wh0' THEN count(size_bytes) WHEN 'wh2' THEN 0 END AS sized,
        CASE target WHEN 'wh0' THEN 0 WHEN 'wh2' THEN count(*) FILTER (WHERE row_estimate >= 0) END AS estimated,
-       CASE WHEN target = 'wh1' THEN 'AnalysisException' END AS error
+       CASE WHEN target = 'wh1' THEN 'AnalysisException' END AS error,
+       CASE WHEN target = 'wh1' THEN '[UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS message
 FROM fx_relations WHERE relkind IN ('r', 'p', 'm') GROUP BY target"""),
     "a5_read_pages": """
 SELECT conv_id AS connection_id, turn, role FROM conversations WHERE conv_id % 7 <= 4
 UNION ALL SELECT NULL, -1, NULL FROM conversations WHERE conv_id % 7 = 1""",
     "a6_missing_pages": """
 WITH l AS (
-  SELECT DISTINCT CAST(floor(o_orderkey / 6) AS BIGINT) AS r, o_orderkey % 6 AS page FROM orders WHERE o_orderstatus <> 'O'),
+  SELECT DISTINCT CAST(floor(o_orderkey / 6) AS BIGINT) AS r, o_orderkey % 6 * 2 AS page FROM orders),
 n AS (
   SELECT DISTINCT r, CASE WHEN r % 5 = 0 THEN r % 8 WHEN r % 2 = 0 THEN CAST(ceil((r % 70) / 10) AS BIGINT) WHEN r % 3 = 0 THEN 5 END AS need FROM l)
 SELECT concat('res', CAST(n.r AS VARCHAR)) AS resource, p.page FROM n, LATERAL (SELECT unnest(range(0, need)) AS page) p
@@ -415,11 +435,13 @@ SELECT s_name AS identifier, concat('db.r', CAST(s_nationkey AS VARCHAR)) AS cla
   FROM events, (SELECT unnest(['jobs', 'failed', 'running']) AS figure) f
   WHERE ts >= {CLOCK_SQL} - INTERVAL 24 HOUR AND (event_id % 5 <> 0 OR (event_id % 10 = 0 AND event_id % 20 <> 0)) GROUP BY f.figure
   UNION ALL
-  SELECT 4, 'cloud', s.scope, f.figure, max(CASE WHEN s.metric = f.metric THEN s.latest END)
+  SELECT 5, 'cloud', s.scope, f.figure, max(CASE WHEN s.metric = f.metric THEN s.latest END)
   FROM summary s, (SELECT 'cpu' AS figure, 'CPUUtilization' AS metric UNION ALL SELECT 'storage', 'FreeStorageSpace') f
   WHERE s.metric IN ('CPUUtilization', 'FreeStorageSpace') GROUP BY s.scope, f.figure)
-SELECT position, system, target, TRUE AS available, figure, value, CAST(NULL AS VARCHAR) AS error FROM rows
-UNION ALL SELECT 3, 'bi', NULL, FALSE, NULL, NULL, 'AnalysisException'"""),
+SELECT position, system, target, TRUE AS available, figure, value, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS message FROM rows
+UNION ALL SELECT DISTINCT position, system, target, TRUE, 'reachable', 1.0, NULL, NULL FROM rows
+UNION ALL SELECT 3, 'bi', NULL, FALSE, 'reachable', 0.0, 'AnalysisException', '[UNRESOLVED_COLUMN.WITH_SUGGESTION'
+UNION ALL SELECT 4, 'lake', NULL, FALSE, 'reachable', 0.0, 'SparkRuntimeException', '[USER_RAISED_EXCEPTION'"""),
     "k3_coverage": f"""
 SELECT concat('wh', CAST(s_suppkey AS VARCHAR)) AS target, l.engine, section
 FROM supplier JOIN ({_LACK_SQL}) l ON l.engine = ['postgresql', 'redshift', 'duckdb'][s_nationkey % 3 + 1]""",

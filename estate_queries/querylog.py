@@ -21,6 +21,10 @@ def _triage(spark, d):
     return Q.triage(X.query_log(spark, d), CLOCK)
 
 
+def _triage_half_hour(spark, d):
+    return Q.triage(X.query_log(spark, d), CLOCK, min_s=1, hours=0.5)
+
+
 def _drift(spark, d):
     return Q.triage(Q.normalise_log(_drifted(spark, d)), CLOCK, min_s=30, hours=48, n=50)
 
@@ -41,12 +45,31 @@ def _activity(spark, d):
 
 
 def _stats(spark, d):
-    log = X.query_log(spark, d).withColumn("elapsed_ms", F.col("duration_s") * 1000)
+    # Under one target all statements agree in more characters than are shown.
+    same = F.when(F.col("target") == "wh1", F.repeat(F.lit("same "), F.lit(50))).otherwise("")
+    log = X.query_log(spark, d).withColumns({
+        "elapsed_ms": F.col("duration_s") * 1000, "query_text": F.concat(same, "query_text")})
     out = Q.statement_stats(log, min_s=20, n=15)
     return out.select("target", F.col("rank"), "statement", "calls", *[
         F.round(c, 4).alias(c) for c in ("total_s", "mean_s", "max_s")])
 
 
+def _engine_stats(spark, d):
+    """Two engines, one with the older column names, over the lines of each order."""
+    lines = X.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("calls"), F.sum("l_quantity").alias("total"), F.max("l_quantity").alias("longest"))
+    own = [(F.col("l_orderkey") % 2 == i, t, *names) for i, t, *names in (
+        (0, "new", "total_exec_time", "mean_exec_time", "max_exec_time"), (1, "old", "total_time", "mean_time", "max_time"))]
+    parts = [
+        Q.engine_statistics(lines.where(mine).select(
+            F.lit(target).alias("target"), X.name("select\n", "l_orderkey").alias("query"), "calls",
+            (F.col("total") * 1000).alias(total), (F.col("total") * 1000 / F.col("calls")).alias(mean),
+            (F.col("longest") * 1000).alias(longest)), min_s=10, n=40)
+        for mine, target, total, mean, longest in own]
+    out = parts[0].unionByName(parts[1])
+    return out.select("target", "rank", "statement", "calls", *[F.round(c, 4).alias(c) for c in ("total_s", "mean_s", "max_s")])
+
+
 def _statements(spark, d):
     """Statement texts built from conversation turns, some commented, some CTEs."""
     turn, conv = F.col("turn"), F.col("conv_id")
@@ -99,9 +122,11 @@ def _mask_forms(spark, d):
 QUERIES = {
     "a4_column_drift": _drift,
     "q1_triage": _triage,
+    "q1_triage_half_hour": _triage_half_hour,
     "q2_live_queries": _live,
     "q3_activity_snapshot": _activity,
     "q4_statement_stats": _stats,
+    "q4_engine_statistics": _engine_stats,
     "q6_classify_statements": _classify,
     "q8_long_running_counts": _long,
     "k4_mask_documents": _mask,
@@ -125,12 +150,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {order}) AS rn F
 WHERE rn <= {n}"""
 
 
-def _triage_where(min_s: int, hours: int) -> str:
-    recent = f"start_time >= {CLOCK_SQL} - INTERVAL {hours} HOUR"
+def _triage_where(min_s: int, hours: float) -> str:
+    recent = f"start_time >= {CLOCK_SQL} - INTERVAL {round(hours * 60)} MINUTE"
     return f"(elapsed_s >= {min_s} AND (is_live OR {recent})) OR (is_failed AND {recent})"
 
 
 _URGENT = "is_live DESC, elapsed_s DESC, query_id"
+# The forms of a credential that masking must find, as the library has them.
 _V = "(?:'(?:[^']|'')*'|\"[^\"]*\"|[^\\s&;,]*)".replace("'", "''")
 _QUOTED = "(?:'(?:[^']|'')*'|\"[^\"]*\")".replace("'", "''")
 _NAMES = r"(?:secret|token|api[_\-]?key|access[_\-]?key|credential|passwd|pwd)"
@@ -152,6 +178,7 @@ def mask_sql(col: str) -> str:
 ORACLE = {
     "a4_column_drift": _log_sql(_triage_where(30, 48), _URGENT, 50),
     "q1_triage": _log_sql(_triage_where(60, 6), _URGENT, 20),
+    "q1_triage_half_hour": _log_sql(_triage_where(1, 0.5), _URGENT, 20),
     "q2_live_queries": _log_sql("is_live AND elapsed_s >= 86400", "elapsed_s DESC, query_id", 25),
     "q3_activity_snapshot": f"""
 WITH s AS (
@@ -165,11 +192,18 @@ SELECT target, CAST(rn AS INTEGER) AS rank, session_id, user_name, state, elapse
 FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY elapsed_s DESC, session_id) AS rn FROM s
       WHERE state IS NOT NULL AND state <> 'idle' AND value > 5 AND session_id <> '17' AND elapsed_s >= 3600) t
 WHERE rn <= 30""",
+    "q4_engine_statistics": """
+SELECT target, CAST(rn AS INTEGER) AS rank, statement, calls, round(total, 4) AS total_s, round(total / calls, 4) AS mean_s, round(longest, 4) AS max_s
+FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY longest DESC, calls DESC, statement) AS rn
+      FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS target, concat('select ', CAST(l_orderkey AS VARCHAR)) AS statement,
+                   count(*) AS calls, CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(max(l_quantity) AS DOUBLE) AS longest
+            FROM lineitem GROUP BY l_orderkey) g WHERE longest >= 10) r WHERE rn <= 40""",
     "q4_statement_stats": with_fx("fx_query_log", """
-SELECT target, CAST(rn AS INTEGER) AS rank, statement, calls, round(total_s, 4) AS total_s,
+SELECT target, CAST(rn AS INTEGER) AS rank, substr(statement, 1, 180) AS statement, calls, round(total_s, 4) AS total_s,
        round(mean_s, 4) AS mean_s, round(max_s, 4) AS max_s
 FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY max_s DESC, statement) AS rn
-      FROM (SELECT target, substr(regexp_replace(query_text, '\\s+', ' ', 'g'), 1, 180) AS statement,
+      FROM (SELECT target, concat(CASE WHEN target = 'wh1' THEN repeat('same ', 50) ELSE '' END,
+                                  regexp_replace(query_text, '\\s+', ' ', 'g')) AS statement,
                    count(*) AS calls, sum(duration_s * 1000 / 1000.0::DOUBLE) AS total_s,
                    avg(duration_s * 1000 / 1000.0::DOUBLE) AS mean_s,
                    max(duration_s * 1000 / 1000.0::DOUBLE) AS max_s

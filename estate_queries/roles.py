@@ -134,7 +134,17 @@ def _describe(spark, d):
                             X.relations(spark, d), X.namespaces(spark, d))
 
 
+def _superusers(spark, d):
+    return _roles(spark, d).where("superuser").select("role")
+
+
+def _describe_some(spark, d):
+    return R.describe_roles(_roles(spark, d), X.role_members(spark, d), X.acl(spark, d),
+                            X.relations(spark, d), X.namespaces(spark, d), only=_superusers(spark, d))
+
+
 QUERIES = {
+    "e1_ancestors_of": lambda s, d: R.ancestors(X.role_members(s, d), _superusers(s, d)),
     "e1_ancestors": lambda s, d: R.ancestors(X.role_members(s, d)),
     "e2_descendants": lambda s, d: R.descendants(X.role_members(s, d)),
     "e3_group_members": _group_members,
@@ -151,6 +161,7 @@ QUERIES = {
     "e13_grant_plan": _grant_plan,
     "e14_handover_plan": _handover,
     "e15_describe_roles": _describe,
+    "e15_describe_some_roles": _describe_some,
 }
 
 _HOLD = """
@@ -299,3 +310,9 @@ UNION ALL SELECT h.role, 'privileges', concat(scope, ':', object_name), concat(p
 UNION ALL SELECT 'public', 'privileges', concat(scope, ':', object_name), concat(privilege, ' via public') FROM fx_acl WHERE grantee IS NULL
 UNION ALL SELECT owner, 'owns', concat(target, '.', schema_name), concat(objects, ' ', kind) FROM ({_OWNED}) o""",
 }
+
+_SUPER = "SELECT concat('c', CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_acctbal > 9000"
+ORACLE["e1_ancestors_of"] = ORACLE["e1_ancestors"] + f" WHERE member IN ({_SUPER})"
+ORACLE["e15_describe_some_roles"] = (
+    f"SELECT * FROM ({ORACLE['e15_describe_roles']}) WHERE role = 'public' OR role IN ({_SUPER})"
+)

@@ -2,8 +2,8 @@
 
 import random
 
+from estate import session
 from estate.operators import roles as R
-from estate.plans import closure as shapes
 from estate.plans.closure import closure
 
 EDGE = "member string, role string, inherit boolean"
@@ -69,12 +69,16 @@ def test_random_graphs_match_brute_force(frame):
         assert got == brute(edges)
 
 
-def test_filtered_known_pairs_give_the_same(frame, monkeypatch):
-    monkeypatch.setattr(shapes, "_MANY", 0)
-    monkeypatch.setattr(shapes, "_FEW", 0)
+def test_given_starts_make_only_their_pairs(frame, spark):
     rng = random.Random(11)
     edges = [(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}", rng.random() < 0.6) for _ in range(30)]
-    assert as_dict(closure(frame(edges, EDGE), "member", "role", "inherit")) == brute(edges)
+    starts = frame([("n3",), ("n4",), ("n4",), ("elsewhere",), (None,)], "name string")
+    before = set(session._MADE)
+    got = as_dict(closure(frame(edges, EDGE), "member", "role", "inherit", starts))
+    assert got == {k: v for k, v in brute(edges).items() if k[0] in ("n3", "n4")}
+    (root,) = set(session._MADE) - before
+    rounds = spark.read.parquet(f"{root}/round-*")
+    assert {r.node for r in rounds.select("node").distinct().collect()} <= {"n3", "n4"}
 
 
 def test_deep_chain(frame):

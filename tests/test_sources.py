@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from estate.operators import describe as D
+from estate.plans.shapes import top_k
 from estate.session import SCRATCH_KEY, discard, scratch_dir, scratch_path
 from estate.sources import audit, pages, sinks, snapshot
+from estate.streaming import monitors
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -183,3 +185,73 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan_text(entry.queries()["c6_page_after"](spark, SF))
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,1000)]" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
+
+
+def test_only_reads_run_unless_asked(spark):
+    tables = {"one_row": spark.range(1)}
+    assert snapshot.run_sql(spark, "SELECT id + 1 AS n FROM one_row", tables).first().n == 1
+    assert not spark.catalog.tableExists("one_row")
+    for sql in ("CREATE TEMP VIEW v AS SELECT 1", "-- note\n DROP TABLE t", "WITH q AS (SELECT 1) INSERT INTO t SELECT * FROM q"):
+        with pytest.raises(ValueError, match="may write"):
+            snapshot.run_sql(spark, sql, tables)
+    snapshot.run_sql(spark, "CREATE TEMP VIEW made_view AS SELECT id FROM one_row", tables, write=True)
+    spark.catalog.dropTempView("made_view")
+    spark.range(1).createTempView("one_row")
+    try:
+        with pytest.raises(ValueError, match="taken"):
+            snapshot.run_sql(spark, "SELECT * FROM one_row", tables)
+        assert spark.catalog.tableExists("one_row")
+    finally:
+        spark.catalog.dropTempView("one_row")
+
+
+def test_a_target_that_fails_when_run_is_told(spark):
+    bad = spark.range(3).select(F.raise_error(F.lit("gone away")).cast("bigint").alias("id"))
+    rows, failed = snapshot.union_targets(spark, {"a": spark.range(2), "b": bad, "c": lambda: spark.range(1)})
+    assert sorted(r.target for r in rows.collect()) == ["a", "a", "c"]
+    (row,) = failed.collect()
+    assert row.target == "b" and "gone away" in row.message and len(row.message) <= snapshot.ERROR_WIDTH
+
+
+def test_an_optional_source_lets_other_failures_out(spark, tmp_path):
+    assert not snapshot.read_optional(spark, str(tmp_path / "none"), "id bigint")[1]
+    (tmp_path / "torn.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        snapshot.read_optional(spark, str(tmp_path / "torn.parquet"), "id bigint")
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "start_time timestamp_ntz, status string"
+    jobs = lambda hours: spark.createDataFrame(
+        [(datetime(2024, 1, 1 + h // 24, h % 24, 5), "failed" if h % 2 else "done") for h in hours], schema)
+    jobs(range(0, 30)).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: monitors.job_health_stream(
+        monitors.read_stream(spark, str(tmp_path / "in"), jobs([0]).schema), span="2 hours")
+    first = monitors.run_available(stream(), str(tmp_path / "run"))
+    before = {tuple(r) for r in first.collect()}
+    jobs(range(30, 60)).write.mode("append").parquet(str(tmp_path / "in"))
+    after = [tuple(r) for r in monitors.run_available(stream(), str(tmp_path / "run")).collect()]
+    assert before and before < set(after) and len(after) == len(set(after))
+    inner = [r for r in after if datetime(2024, 1, 1, 0) <= r[0] < datetime(2024, 1, 3, 8)]
+    assert len(inner) == 56 and all(r[1:3] == (2, 1) for r in inner)
+
+
+def test_alerts_without_a_clock_use_the_time_of_the_batch(spark, tmp_path):
+    schema = "query_id string, user_name string, status string, start_time timestamp_ntz, duration_s bigint"
+    log = spark.range(2).select(
+        F.col("id").cast("string").alias("query_id"), F.lit("u").alias("user_name"), F.lit("running").alias("status"),
+        (F.current_timestamp() - F.expr("INTERVAL '90' SECOND") * (1 - F.col("id"))).cast("timestamp_ntz").alias("start_time"),
+        F.lit(None).cast("bigint").alias("duration_s"))
+    log.write.parquet(str(tmp_path / "in"))
+    stream = monitors.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    got = monitors.run_available(monitors.alert_stream(stream, min_s=60), str(tmp_path / "run")).collect()
+    assert [r.query_id for r in got] == ["0"]
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_a_hot_group_is_ranked_like_any_other(spark, n):
+    df = spark.range(6000).select((F.col("id") % 10 == 0).alias("small"), "id")
+    got = top_k(df, ["small"], [F.col("id").desc()], n)
+    assert got.where("not small").count() == n
+    assert got.where("not small and rank = 1").first().id == 5999
+    assert got.where("small").count() == min(n, 600)
