@@ -132,14 +132,16 @@ def quality_rules(
     first, last = (f"get(_ratios, {g})" for g in _grams("w", buckets))
     step = counts.withColumn("_ratios", ratios.scalar())
     step = step.withColumn("_sum", F.expr(f"aggregate(_words, 0L, (n, w) -> n + {first} + {last})"))
-    step = step.withColumn("_n", F.col("n_words") * 2)
+    # A row number keeps filters on the verdict above this point; pushed below, they
+    # would compute all of the above once more for each use.
+    step = step.withColumn("_n", F.col("n_words") * 2).withColumn("_row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     good = (F.col("_n") == 0) | (F.col("_sum") >= F.col("_n") * F.lit(int(threshold * _MILLION)))
     return step.select(
         *[F.col(f"_doc.`{c}`").alias(c) for c in kept],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & good).alias("kept"),
+        (~failed & good & (F.col("_row") >= 0)).alias("kept"),
         F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / _MILLION).alias("log_ratio"),
     )
 
