@@ -1,10 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same shingle set are one class; everything after works on classes.
-Signatures are banded. In every bucket the members are first compared with its smallest
-member only, one such pair per class. Of what the pairs link, components are formed;
-then all pairs of a bucket whose ends are still in different components are compared,
-so no link between components is left out and none inside one is paid for.
+Signatures are banded. In every bucket the members are first compared with one that
+leads it: each class with the leader of most of its buckets, then, where these did not
+link them, with the other leaders. Of what the pairs link, components are formed; then
+all pairs of a bucket whose ends are still in different components are compared, so no
+link between components is left out and none inside one is paid for.
 
 A comparison looks at the signatures batch by batch. After each batch, the posterior of
 the similarity, given the matches so far and a flat prior, tells whether the threshold
@@ -14,17 +15,19 @@ get through all batches are verified exactly on their full sets.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate.llm.common import ship
 from estate.llm.wordhash import chunks, join, mix
-from estate.session import materialize
+from estate.session import discard, materialize, scratch_path
 
 BANDS, ROWS = 32, 5
 BATCH = 32
@@ -116,8 +119,6 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _set_id(shingles: np.ndarray) -> bytes:
-    import hashlib
-
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
@@ -166,15 +167,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _links(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, miss: float
-) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs whose full sets reach the similarity, written to the shared folder."""
     likely = materialize(_plausible(pairs, classes, percent / 100, miss), "likely-pairs")
-    ends = likely.select(F.col("a").alias("set_id")).unionByName(likely.select(F.col("b").alias("set_id"))).distinct()
-    needed = materialize(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed-sets")
-    # A key given twice with one text gives the same set twice.
-    sets = materialize(_full_sets(docs, needed, key, text, words).dropDuplicates(["set_id"]), "sets")
     both = (
         likely.join(sets.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
         .join(sets.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a")
@@ -224,6 +219,13 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is finished: it does when the driver's
+    garbage is collected, which may else come long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, miss: float = MISS
 ) -> DataFrame:
@@ -237,42 +239,98 @@ def near_duplicates(
     passed over as a smallest one unless all are null. Rows that agree in key share
     their fate. Other columns are not read. An empty table gives no rows.
     """
-    rows = materialize(signatures(docs, key, text, words), "signatures")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "signatures")
+    signatures(docs, key, text, words).write.parquet(path)
+    marked = spark.read.parquet(path)
     classes = materialize(
-        rows.where("set_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")),
+        marked.where("set_id is not null").groupBy("set_id")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+             F.first("signature").alias("signature")),
         "classes",
     )
+    rows = materialize(marked.drop("signature"), "rows")
+    discard(spark, path)
     band = F.expr(
         f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, slice(signature, i * {ROWS} + 1, {ROWS}))))"
     )
     banded = classes.select("set_id", band.alias("bucket"))
+    shared = materialize(
+        banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets"
+    )
+    members = materialize(banded.join(shared, "bucket"), "members")
+    # The member that shares most buckets with others leads a bucket: a text that many
+    # were copied from is nearer to each of them than they are to one another.
+    weights = materialize(members.groupBy("set_id").agg(F.sum("n").alias("weight")), "weights")
     leads = materialize(
-        banded.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.count("*").alias("_n"))
-        .where("_n > 1").select("bucket", "lead"),
-        "buckets",
+        members.join(weights, "set_id").groupBy("bucket")
+        .agg(F.max(F.struct("weight", "set_id")).alias("_lead"))
+        .select("bucket", F.col("_lead.set_id").alias("lead")),
+        "leads",
+    )
+    led = materialize(
+        members.join(leads, "bucket").where("set_id != lead").groupBy("lead", "set_id").agg(F.count("*").alias("n")), "led"
     )
-    members = materialize(banded.join(leads, "bucket"), "members")
-    nearest = members.where("set_id != lead").groupBy("set_id").agg(F.min("lead").alias("a"))
-    first = materialize(nearest.select("a", F.col("set_id").alias("b")), "first-pairs")
-    links = _links(first, classes, docs, key, text, words, percent, miss)
+    # Full sets of all classes that share a bucket, read from the documents once.
+    ends = led.select("set_id").unionByName(led.select(F.col("lead").alias("set_id"))).distinct()
+    needed = materialize(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed-sets")
+    # A key given twice with one text gives the same set twice.
+    sets = materialize(_full_sets(docs, needed, key, text, words).dropDuplicates(["set_id"]), "sets")
+    _tidy(spark)
+    best = led.groupBy("set_id").agg(F.max(F.struct("n", "lead")).alias("_best"))
+    tested = materialize(best.select(F.col("_best.lead").alias("a"), F.col("set_id").alias("b")), "first-pairs")
+    links = _links(tested, classes, sets, percent, miss)
     found = materialize(components(links), "components")
+    _tidy(spark)
+
+    def more(pairs: DataFrame, found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """Components with the links among untested ``pairs`` (a, b), and those pairs."""
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), label)
+        links = _links(pairs, classes, sets, percent, miss)
+        known = found.select(F.col("set_id").alias("a"), F.col("label").alias("b"))
+        out = materialize(components(known.unionByName(links)), "components")
+        _tidy(spark)
+        return out, pairs
+
+    # The other leads of a class, where its component is still another one.
+    named = led.select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
+    ends = [found.select(F.col("set_id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+    apart = (
+        named.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    )
+    found, pairs = more(apart, found, "second-pairs")
+    tested = materialize(tested.unionByName(pairs), "tested")
 
+    # All pairs of a bucket whose ends are still in different components.
     labelled = members.join(found, "set_id", "left").select("bucket", "set_id", F.coalesce("label", "set_id").alias("label"))
     mixed = (
         labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))
         .where("_x != _y").select("bucket")
     )
     open_members = materialize(labelled.join(mixed, "bucket"), "open-members")
-    x, y = open_members.alias("x"), open_members.alias("y")
+    # What only one open class has, it shares with none of the others: that bounds how
+    # many shingles a pair can have in common, and spares most pairs of a large group of
+    # copies that changed in different places.
+    open_sets = sets.join(open_members.select("set_id").distinct(), "set_id")
+    own = (
+        open_sets.select("set_id", F.explode("shingles").alias("_s"))
+        .groupBy("_s").agg(F.count("*").alias("_n"), F.min("set_id").alias("set_id")).where("_n = 1")
+        .groupBy("set_id").agg(F.count("*").alias("_own"))
+    )
+    common = classes.select("set_id", F.col("n_shingles").alias("n")).join(own, "set_id", "left").select(
+        "set_id", "n", (F.col("n") - F.coalesce("_own", F.lit(0))).alias("m")
+    ).where(F.col("m") * 100 >= F.col("n") * percent)
+    hopeful = materialize(open_members.join(common, "set_id"), "hopeful-members")
+    x, y = hopeful.alias("x"), hopeful.alias("y")
+    most = F.least("x.m", "y.m")
     across = x.join(
         y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id"))
-        & (F.col("x.label") != F.col("y.label")),
+        & (F.col("x.label") != F.col("y.label"))
+        & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent),
     ).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    second = materialize(across.join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = _links(second, classes, docs, key, text, words, percent, miss)
-    known = found.select(F.col("set_id").alias("a"), F.col("label").alias("b"))
-    found = materialize(components(known.unionByName(more)), "components")
+    tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found, _ = more(across, found, "third-pairs")
 
     grouped = rows.join(found, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     least = materialize(
