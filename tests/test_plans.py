@@ -7,6 +7,7 @@ import pytest
 from estate.operators import grants as G
 from estate.operators import orphans as O
 from estate.operators import principals as N
+from estate.report_order import in_report_order
 
 REL = "relation_id bigint, target string, schema_name string, relation_name string, relkind string"
 INH = "child_id bigint, parent_id bigint"
@@ -158,3 +159,8 @@ def test_principal_kinds(frame):
                    "Public": (None, "public_not_allowed")}
     forced = {r.name: r.status for r in N.resolve_kinds(names, principals, "group").collect()}
     assert (forced["a"], forced["b"]) == ("not_that_kind", "ok")
+
+
+def test_reports_sort_as_readers_expect(frame):
+    df = frame([("b", 1), ("a", 2), (None, 1), ("a", 1)], "target string, rank int")
+    assert [tuple(r) for r in in_report_order(df, "triage").collect()] == [("a", 1), ("a", 2), ("b", 1), (None, 1)]
