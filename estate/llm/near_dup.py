@@ -32,6 +32,9 @@ from estate.session import discard, materialize, scratch_path
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
+# In buckets with more open classes than CROWD, shingles that at most FEW of the crowded
+# classes have bound what a pair shares. Any values give the same links.
+CROWD, FEW = 64, 1000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _MASKS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _SEEDS.astype(np.uint32)
 
@@ -309,25 +312,31 @@ def near_duplicates(
         .where("_x != _y").select("bucket")
     )
     open_members = materialize(labelled.join(mixed, "bucket"), "open-members")
-    # What only one open class has, it shares with none of the others: that bounds how
-    # many shingles a pair can have in common, and spares most pairs of a large group of
-    # copies that changed in different places.
-    open_sets = sets.join(open_members.select("set_id").distinct(), "set_id")
-    own = (
-        open_sets.select("set_id", F.explode("shingles").alias("_s"))
-        .groupBy("_s").agg(F.count("*").alias("_n"), F.min("set_id").alias("set_id")).where("_n = 1")
-        .groupBy("set_id").agg(F.count("*").alias("_own"))
+    # What a pair of a crowded bucket can have in common: of the shingles that many
+    # crowded classes have, all of the smaller side; of those that few have, the ones
+    # both do. This bound holds for any limit of few, and spares nearly all pairs of a
+    # large group of copies that were changed in different places.
+    crowded = open_members.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
+    busy = materialize(open_members.join(crowded, "bucket").select("set_id").distinct(), "crowded")
+    shingles = sets.join(busy, "set_id").select("set_id", F.explode("shingles").alias("_s"))
+    few = shingles.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW)
+    scarce = shingles.join(few, "_s").groupBy("set_id").agg(F.collect_list("_s").alias("few"))
+    bounded = busy.join(scarce, "set_id", "left").select(
+        "set_id", F.coalesce("few", F.array().cast("array<bigint>")).alias("few")
     )
-    common = classes.select("set_id", F.col("n_shingles").alias("n")).join(own, "set_id", "left").select(
-        "set_id", "n", (F.col("n") - F.coalesce("_own", F.lit(0))).alias("m")
-    ).where(F.col("m") * 100 >= F.col("n") * percent)
-    hopeful = materialize(open_members.join(common, "set_id"), "hopeful-members")
+    sizes = classes.select("set_id", F.col("n_shingles").alias("n"))
+    hopeful = materialize(open_members.join(sizes, "set_id").join(bounded, "set_id", "left"), "hopeful-members")
     x, y = hopeful.alias("x"), hopeful.alias("y")
-    most = F.least("x.m", "y.m")
+
+    def enough(shared):
+        return shared * 100 >= (F.col("x.n") + F.col("y.n") - shared) * percent
+
+    of_many = F.least(F.expr("x.n - size(x.few)"), F.expr("y.n - size(y.few)"))
+    known = F.col("x.few").isNotNull() & F.col("y.few").isNotNull()
     across = x.join(
         y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent),
+        & (F.col("x.label") != F.col("y.label")) & enough(F.least("x.n", "y.n"))
+        & (~known | enough(of_many) | enough(of_many + F.size(F.array_intersect("x.few", "y.few")))),
     ).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found, _ = more(across, found, "third-pairs")
