@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the log-likelihood ratio keep."""
     trusted = quality_rules.trusted_rows(table(spark, sf_dir, "labels"))
     whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = quality_rules.quality_rules(whole, trusted, keep=["_whole"])
+    judged = quality_rules.quality_rules(whole, trusted, "_whole.doc_id", "_whole.text", keep=["_whole"])
     return judged.where("kept").select("_whole.*")
 
 

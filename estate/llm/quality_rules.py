@@ -1,10 +1,11 @@
-"""Quality rules: base counts and a hashed n-gram log-likelihood ratio, DataFrame only.
+"""Quality rules: base counts and a character n-gram log-likelihood ratio, DataFrame only.
 
-Two multinomials over hashed n-grams are counted: one over the trusted texts, one over
-the whole raw corpus. A document's score is the mean log ratio of its n-grams. The
+Two multinomials over all character n-grams are counted: one over the trusted texts, one
+over the whole raw corpus. A document's score is the mean log ratio of its n-grams. The
 trusted counts are smoothed towards the raw ones, so an n-gram nobody has evidence
 about weighs nothing. Ratios are kept in millionths as integers, so the sums and the
-verdicts do not depend on the order of summing. No row is sampled when judging.
+verdicts do not depend on the order of summing. No row is sampled, in counting or in
+judging, and the table of n-grams grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from estate.session import materialize
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 GRAM = 3
-BUCKETS = 8192
 PRIOR = 8192
-THRESHOLD = -0.5
 TRUSTED_ROWS = 20_000
+THRESHOLD = -0.5
 _MILLION = 1_000_000
 
 
@@ -74,83 +74,90 @@ def base_counts(docs: DataFrame, text: str, keep: Sequence[Column]) -> DataFrame
     )
 
 
-def _grams(word: str, buckets: int) -> list[str]:
-    """Buckets of the n-grams of a word: its first and its last characters.
+def _grams(docs: DataFrame, buckets: int | None) -> DataFrame:
+    """The other columns of ``docs`` and ``_gram``, a row for each n-gram of ``_text``.
 
-    The edges tell shouting, tables, glued symbols and foreign endings apart, at two
-    n-grams a word; a mark keeps first and last ones apart.
+    The n-grams are all runs of three characters, with the words of the text parted by
+    one blank and a blank on both sides, each named by 64 bits. With ``buckets`` they
+    are the first and the last characters of each word alone, in so many buckets.
     """
-    ends = (f"xxhash64(substring({word}, 1, {GRAM}))", f"xxhash64(substring({word}, -{GRAM}, {GRAM}), 1)")
-    return [f"cast(pmod({h}, {buckets}L) as int)" for h in ends]
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int, prior: int) -> DataFrame:
-    """One row: the log ratio of every bucket in millionths, as one array ``ratios``.
-
-    ``trusted`` names the trusted rows by key; the caller bounds it, so it is
-    broadcast. The counts of the raw corpus cover every document.
+    words = words_of(F.col("_text"))
+    others = [c for c in docs.columns if c != "_text"]
+    if buckets is None:
+        flat = F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+        # A look-ahead steps through the text once, at any length of a word.
+        runs = F.regexp_extract_all(flat, F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))
+        return docs.select(*others, F.explode(runs).alias("_run")).select(*others, F.xxhash64("_run").alias("_gram"))
+    ends = (f"xxhash64(substring(_w, 1, {GRAM}))", f"xxhash64(substring(_w, -{GRAM}, {GRAM}), 1)")
+    both = F.array(*[F.expr(f"pmod({h}, {buckets}L)") for h in ends])
+    return docs.select(*others, F.explode(words).alias("_w")).select(*others, F.explode(both).alias("_gram"))
+
+
+def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int | None, prior: int) -> DataFrame:
+    """``_gram`` and ``_ratio``, the log ratio in millionths, of every n-gram in ``rows``.
+
+    ``rows`` has ``_key`` and ``_text``; ``trusted`` has the trusted keys, ``_key``, each
+    once. Both counts cover every document.
     """
-    flagged = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
-        F.broadcast(trusted.select(F.col(key).alias("_key")).distinct().withColumn("_trusted", F.lit(1))),
-        "_key", "left",
-    )
-    words = flagged.select(
-        F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("_trusted"), F.explode(words_of(F.col("_text"))).alias("_w")
-    )
-    grams = words.select("_trusted", F.explode(F.array(*map(F.expr, _grams("_w", buckets)))).alias("_bucket"))
-    counted = grams.groupBy("_bucket").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good"))
-    # Buckets are bounded by the parameter: from here on there are a few thousand rows.
-    counted = materialize(counted, "ngrams")
+    flagged = rows.select("_key", "_text").join(trusted.withColumn("_trusted", F.lit(1)), "_key", "left")
+    grams = _grams(flagged.select(F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("_trusted"), "_text"), buckets)
+    counted = materialize(grams.groupBy("_gram").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good")), "ngrams")
     p = F.col("_raw") / counted.agg(F.sum("_raw")).scalar()
     ratio = F.log((F.col("_good") + prior * p) / ((counted.agg(F.sum("_good")).scalar() + prior) * p))
-    each = counted.select("_bucket", F.round(ratio * _MILLION).cast("bigint").alias("_ratio"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_bucket"))
-    filled = every.join(F.broadcast(each), "_bucket", "left").agg(
-        F.sort_array(F.collect_list(F.struct("_bucket", F.coalesce("_ratio", F.lit(0)).alias("_ratio")))).alias("_all")
-    )
-    return filled.select(F.col("_all._ratio").alias("ratios"))
+    return counted.select("_gram", F.round(ratio * _MILLION).cast("bigint").alias("_ratio"))
 
 
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None,
-    buckets: int = BUCKETS, prior: int = PRIOR, threshold: float = THRESHOLD,
+    buckets: int | None = None, prior: int = PRIOR, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Counts and verdict of every document: ``keep`` (default: key), the counts
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     then ``base_failed``, ``kept``, ``log_ratio`` (mean of the n-grams, null without any).
 
     A document is kept when the base rules hold and its mean log ratio reaches
-    ``threshold``. ``trusted`` holds the keys of trusted rows (bounded by the caller).
+    ``threshold``. ``trusted`` holds the keys of trusted rows, any number of them.
     Null and empty texts have no words and fail the base rules. Repeated rows are
     judged each on their own. Columns in ``keep`` that clash with a result column give
     way to it. Without trusted rows every ratio is zero. An empty table gives no rows.
+    Key and text may be fields of a column in ``keep``.
     """
-    ratios = materialize(log_ratios(docs, trusted, key, text, buckets, prior), "log-ratios")
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio"}
     kept = [c for c in (keep or [key]) if c not in made]
-    counts = base_counts(docs, text, [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc")])
-    first, last = (f"get(_ratios, {g})" for g in _grams("w", buckets))
-    step = counts.withColumn("_ratios", ratios.scalar())
-    step = step.withColumn("_sum", F.expr(f"aggregate(_words, 0L, (n, w) -> n + {first} + {last})"))
-    # A row number keeps filters on the verdict above this point; pushed below, they
-    # would compute all of the above once more for each use.
-    step = step.withColumn("_n", F.col("n_words") * 2).withColumn("_row", F.monotonically_increasing_id())
+    # Rows are numbered once and written, so that both passes mean the same row. A text
+    # that is kept is not written twice.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    if text.split(".")[0] in kept:
+        rows = materialize(rows.drop("_text"), "judged-rows").withColumn("_text", F.col(f"_doc.{text}"))
+    else:
+        rows = materialize(rows, "judged-rows")
+    known = trusted.select(F.col(trusted.columns[0] if "." in key else key).alias("_key")).distinct()
+    ratios = materialize(log_ratios(rows, known, buckets, prior), "log-ratios")
+    scores = (
+        _grams(rows.select("_row", "_text"), buckets).join(ratios, "_gram")
+        .groupBy("_row").agg(F.sum("_ratio").alias("_sum"), F.count("*").alias("_n"))
+    )
+    # A number made here keeps filters on the verdict above this point; pushed below, they
+    # would compute all of the counts once more for each use.
+    counts = base_counts(rows, "_text", [F.col("_doc"), F.col("_row")]).drop("_words")
+    counts = counts.withColumn("_at", F.monotonically_increasing_id())
+    step = counts.join(scores, "_row", "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    good = (F.col("_n") == 0) | (F.col("_sum") >= F.col("_n") * F.lit(int(threshold * _MILLION)))
+    good = F.col("_n").isNull() | (F.col("_sum") >= F.col("_n") * F.lit(int(threshold * _MILLION)))
     return step.select(
         *[F.col(f"_doc.`{c}`").alias(c) for c in kept],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & good & (F.col("_row") >= 0)).alias("kept"),
-        F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / _MILLION).alias("log_ratio"),
+        (~failed & good & (F.col("_at") >= 0)).alias("kept"),
+        (F.col("_sum") / F.col("_n") / _MILLION).alias("log_ratio"),
     )
 
 
 def trusted_rows(labels: DataFrame, key: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Keys of at most ``rows`` documents labelled good and not toxic, picked by hash.
-
-    The bound is what lets the trusted side be broadcast; the raw corpus has none.
-    """
+    """Keys of at most ``rows`` documents labelled good and not toxic, picked by hash."""
     return (
         labels.where("quality = 1 and coalesce(toxic, 0) = 0").where(F.col(key).isNotNull())
         .select(key).distinct().orderBy(F.xxhash64(key), key).limit(rows)

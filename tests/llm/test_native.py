@@ -190,6 +190,33 @@ def test_log_ratio_matches_brute_force(spark, docs):
     assert all(r.kept for r in got[:12])
 
 
+def test_all_n_grams_of_a_text_are_scored(spark, docs):
+    # Words with sound edges, garbled inside; and one long glued word among sound ones.
+    clean = [prose(s, 60).replace("w", "sound") for s in range(12)]
+    garbled = [re.sub("sound", "souqxzqxzund", t) for t in clean[:3]]
+    texts = clean + garbled + [" ".join(clean[0].split()[:25]) + " " + "#qx$z" * 400]
+    trusted, prior = set(range(6)), 50
+
+    def grams(text):
+        flat = f" {' '.join(WORD.findall(text))} "
+        return [flat[i : i + 3] for i in range(len(flat) - 2)]
+
+    raw, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i in trusted:
+            good.update(grams(t))
+    r, g = sum(raw.values()), sum(good.values())
+    ratio = {b: round(1e6 * math.log((good[b] + prior * n / r) / ((g + prior) * n / r))) for b, n in raw.items()}
+    got = quality_rules.quality_rules(
+        docs(texts), spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), prior=prior
+    ).orderBy("doc_id").collect()
+    for row, text in zip(got, texts):
+        each = [ratio[b] for b in grams(text)]
+        assert row.log_ratio == pytest.approx(sum(each) / len(each) / 1e6, abs=2e-6)
+    assert all(r.kept for r in got[:12]) and not any(r.kept for r in got[12:])
+
+
 def test_rules_handle_awkward_rows(spark, awkward, nothing):
     df, rows = awkward
     none = spark.createDataFrame([(None,), (1,)], "doc_id bigint")
