@@ -22,7 +22,6 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 GRAM = 3
 PRIOR = 8192
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.5
 _MILLION = 1_000_000
 
@@ -156,9 +155,6 @@ def quality_rules(
     )
 
 
-def trusted_rows(labels: DataFrame, key: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Keys of at most ``rows`` documents labelled good and not toxic, picked by hash."""
-    return (
-        labels.where("quality = 1 and coalesce(toxic, 0) = 0").where(F.col(key).isNotNull())
-        .select(key).distinct().orderBy(F.xxhash64(key), key).limit(rows)
-    )
+def trusted_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys of all documents labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").where(F.col(key).isNotNull()).select(key).distinct()

@@ -217,6 +217,11 @@ def test_all_n_grams_of_a_text_are_scored(spark, docs):
     assert all(r.kept for r in got[:12]) and not any(r.kept for r in got[12:])
 
 
+def test_all_trusted_rows_count(spark):
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "if(id < 100, 1, 0) as toxic")
+    assert quality_rules.trusted_rows(labels.unionByName(labels)).count() == 20_400
+
+
 def test_rules_handle_awkward_rows(spark, awkward, nothing):
     df, rows = awkward
     none = spark.createDataFrame([(None,), (1,)], "doc_id bigint")
