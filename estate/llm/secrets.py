@@ -2,10 +2,11 @@
 
 A text is scanned as it is; then every layer that it decodes to is scanned the same way
 and decoded again, until nothing new comes out. URL escapes and Unicode escapes are
-undone in the whole text, base64 runs and what is compressed in them one run at a time.
-A layer that one of its own outer layers equals is not entered again, so the work ends
-also where something decodes to itself. Each layer knows which characters of the
-original text each of its characters comes from, so every find is told as a span there.
+undone with all that a find or a run around them can reach, base64 runs and what is
+compressed in them one run at a time. A layer already scanned at its place is not entered
+again, so the work ends also where something decodes to itself. Each layer knows which
+characters of the original text each of its characters comes from, so every find is told
+as a span there.
 """
 
 from __future__ import annotations
@@ -45,22 +46,35 @@ _UNICODE = re.compile(
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 _SAME = bytes.maketrans(b"-_", b"+/")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
-# A document whose layers hold more characters than this in all is not decoded further;
-# the run that would is told as a span of the kind "opaque". A guard against bombs.
+# All that finds, base64 runs and escapes consist of: what a decoded character can become
+# part of lies between two other characters.
+_REACH = re.compile(r"[A-Za-z0-9+/_.=:\"'\x20%\\{}&#;-]+")
+# A run of the text whose layers hold more characters than this beyond some times its own
+# length is not decoded further; that run alone is told as a span of the kind "opaque". A
+# guard against bombs.
 MAX_DECODED = 1 << 26
+_OWN = 8
 
 
 class Layer(NamedTuple):
     text: str
-    start: np.ndarray | None  # of each character, in the original text; None: the same place
-    end: np.ndarray | None
-    outer: tuple[bytes, ...]  # digests of the layers around it
+    # Of each character, in the original text; None: the same place; a number: of all.
+    start: np.ndarray | int | None
+    end: np.ndarray | int | None
+    run: tuple[int, int] | None  # the outermost run around it
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None:
             return a, b
+        if isinstance(self.start, int):
+            return self.start, self.end
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
+    def name(self) -> bytes:
+        """Digest of the text and its place."""
+        places = [b"" if p is None else np.asarray(p, np.int64).tobytes() for p in (self.start, self.end)]
+        return _digest(self.text) + hashlib.blake2b(b"/".join(places), digest_size=16).digest()
+
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base finds in one layer."""
@@ -162,44 +176,68 @@ def _unpacked(run: str, room: int) -> str | None:
     return None if not text or _CONTROL.search(text) else text
 
 
-def _inner(layer: Layer, room: int) -> Iterator[Layer | tuple[int, int]]:
+def _parts(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Escapes with their surroundings, those that touch as one."""
+    end = 0
+    for m in pattern.finditer(text):
+        if m.start() < end:
+            continue
+        # Everything from ``end`` on is looked through once.
+        for part in _REACH.finditer(text, end):
+            end = part.end()
+            if end > m.start():
+                yield part.start(), end
+                break
+
+
+def _inner(layer: Layer, room: dict[tuple[int, int], int], seen: set[bytes]) -> Iterator[Layer | tuple[int, int]]:
     """The layers one step inside; a pair is a run too large to unpack."""
-    outer = (*layer.outer, _digest(layer.text))
     for sign, pattern, decode in (("%", _URL, _url), ("\\", _UNICODE, _unicode), ("&#", _UNICODE, _unicode)):
         if sign in layer.text and not (sign == "&#" and "\\" in layer.text):
-            done = _unescaped(layer.text, pattern, decode)
-            if done is not None:
-                text, start, end = done
-                if layer.start is not None:
-                    start, end = layer.start[start], layer.end[end - 1]
-                yield Layer(text, start, end, outer)
+            for a, b in _parts(layer.text, pattern):
+                done = _unescaped(layer.text[a:b], pattern, decode)
+                if done is not None:
+                    text, start, end = done
+                    start, end = start + a, end + a
+                    if isinstance(layer.start, int):
+                        start, end = layer.start, layer.end
+                    elif layer.start is not None:
+                        start, end = layer.start[start], layer.end[end - 1]
+                    yield Layer(text, start, end, layer.run)
     for m in _BASE64.finditer(layer.text):
         a, b = layer.place(m.start(), m.end())
+        run = layer.run or (a, b)
+        left = room.setdefault(run, MAX_DECODED + _OWN * len(m[0]))
+        if left < 0:
+            continue
         try:
-            text = _unpacked(m[0], room)
+            text = _unpacked(m[0], left)
         except _Full:
-            yield a, b
+            room[run] = -1
+            yield run
+            continue
+        if text is None:
             continue
-        if text is not None:
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b), outer)
+        inner = Layer(text, a, b, run)
+        if inner.name() not in seen:
+            room[run] -= len(text)
+            yield inner if room[run] >= 0 else run
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base finds and all finds as (kind, start, end), each by start, kind and end."""
     base = sorted(scan(text), key=lambda s: (s[1], s[0], s[2]))
-    found = set(base)
-    work, room = [Layer(text, None, None, ())], MAX_DECODED
+    found, seen = set(base), set()
+    work, room = [Layer(text, None, None, None)], {}
     while work:
         layer = work.pop()
-        for inner in _inner(layer, room):
+        for inner in _inner(layer, room, seen):
             if not isinstance(inner, Layer):
                 found.add((len(KINDS), *inner))
-            elif _digest(inner.text) not in inner.outer:
-                room -= len(inner.text)
-                if room < 0:
-                    found.add((len(KINDS), *inner.place(0, len(inner.text))))
-                    room = 0
-                    continue
+                continue
+            name = inner.name()
+            if name not in seen:
+                seen.add(name)
                 found.update((kind, *inner.place(a, b)) for kind, a, b in scan(inner.text))
                 work.append(inner)
     return base, sorted(found, key=lambda s: (s[1], s[0], s[2]))

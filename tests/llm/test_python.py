@@ -249,6 +249,26 @@ def test_a_bomb_is_told(monkeypatch):
     assert secrets.find_all(run)[1][-1] == (3, 0, len(run))
 
 
+def test_the_guard_covers_one_run_alone(monkeypatch):
+    # Escapes in a long text, by several paths, cost no room; a run beside a bomb is scanned.
+    monkeypatch.setattr(secrets, "MAX_DECODED", 10_000)
+    bomb = base64.b64encode(zlib.compress(b"0" * 100_000)).decode()
+    run = base64.b64encode(b"see token=abcdefghijklmn here").decode()
+    plain = "clean words, " * 5_000
+    text = f"{plain}%41 \\u0041, {bomb}, {plain}{run}"
+    found = secrets.find_all(text)[1]
+    at, last = text.index(bomb), text.index(run)
+    assert found == [(3, at, at + len(bomb)), (0, last, last + len(run))]
+    assert secrets.redacted(text, found).count(plain) == 2
+
+
+def test_a_layer_is_scanned_once_at_its_place(monkeypatch):
+    seen, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda text: seen.append(text) or scan(text))
+    secrets.find_all("a%41\\u0042z")
+    assert sorted(seen) == sorted({"a%41\\u0042z", "aA\\u0042z", "a%41Bz", "aABz"})
+
+
 def test_secrets_handle_awkward_rows(awkward, nothing):
     df, rows = awkward
     got = secrets.secret_scan(df)
