@@ -45,10 +45,15 @@ _UNICODE = re.compile(
 # The shortest secret has 16 characters, which base64 writes in 22.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 _SAME = bytes.maketrans(b"-_", b"+/")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
+# The line after a run that goes on with it: nothing else stands on it.
+_NEXT = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<,)]))")
+# How gzip, bz2, xz and zlib begin, written in base64.
+_PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFo|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+# Finds, runs and escapes are ASCII; no find has fewer characters.
+_READABLE = re.compile(rb"[\x09\x0a\x0d\x20-\x7e]{16}")
 # All that finds, base64 runs and escapes consist of: what a decoded character can become
 # part of lies between two other characters.
-_REACH = re.compile(r"[A-Za-z0-9+/_.=:\"'\x20%\\{}&#;-]+")
+_REACH = re.compile(r"[A-Za-z0-9+/_.=:\"'\s%\\{}&#;-]+", re.A)
 # A run of the text whose layers hold more characters than this beyond some times its own
 # length is not decoded further; that run alone is told as a span of the kind "opaque". A
 # guard against bombs.
@@ -135,45 +140,89 @@ class _Full(Exception):
     pass
 
 
-def _inflate(data: bytes, room: int) -> bytes | None:
-    """What compressed bytes unpack to; None if they are not compressed."""
+# Compressed bytes taken at a time; what comes before a flaw is kept to within so many.
+_STEP = 64
+
+
+def _unpacker(data: bytes):
     if data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        unpack = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unpack = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpack = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        plain = unpack.decompress(data, room + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    if len(plain) > room:
-        raise _Full
-    return plain
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
 
 
-def _unpacked(run: str, room: int) -> str | None:
-    """The text in a base64 run, through any compression inside it."""
+def _inflate(data: bytes, room: int) -> bytes | None:
+    """What compressed bytes unpack to, all members of them, as far as they are sound;
+    None if they are not compressed."""
+    out, size = [], 0
+    while (unpack := _unpacker(data)) is not None:
+        at = 0
+        try:
+            while at < len(data) and not unpack.eof:
+                out.append(unpack.decompress(data[at : at + _STEP], room + 1 - size))
+                size += len(out[-1])
+                at += _STEP
+                if size > room:
+                    raise _Full
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        # Members may be filled up with zeros.
+        data = (unpack.unused_data + data[at:]).lstrip(b"\0") if unpack.eof else b""
+    return b"".join(out) if size else None
+
+
+def _decoded(run: str) -> bytes:
     body = run.rstrip("=").encode().translate(_SAME)
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
-        data = base64.b64decode(body + b"=" * (-len(body) % 4))
+        return base64.b64decode(body + b"=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    seen = set()
+        return b""
+
+
+def _unpacked(run: str, room: int) -> str | None:
+    """The text in a base64 run, through any compression inside it; None without any
+    that a find, a run or an escape could stand in."""
+    data, seen = _decoded(run), set()
     while (plain := _inflate(data, room)) is not None and data not in seen:
         seen.add(data)
         data = plain
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
+    return data.decode("utf-8", "replace") if _READABLE.search(data) else None
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 runs as (start, end, run): each as it stands, and joined over line ends
+    where the lines after the first are of one width, the last one at most."""
+    joined = 0
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+        if m.start() < joined or m[0].endswith("="):
+            continue
+        lines, end, width = [m[0]], m.end(), 0
+        while (more := _NEXT.match(text, end)) and not (width and len(more[1]) > width):
+            lines.append(more[1])
+            end = more.end()
+            if more[2] or width and len(more[1]) < width:
+                break
+            width = len(more[1])
+        if len(lines) > 1:
+            yield m.start(), end, "".join(lines)
+            joined = end
+
+
+def _readings(run: str) -> Iterator[str]:
+    """The run from its first four characters on, as what it is glued to may shift it,
+    and from wherever something compressed may begin."""
+    for start in range(4):
+        yield run[start:]
+    for m in _PACKED.finditer(run, 4):
+        yield run[m.start() :]
 
 
 def _parts(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -204,24 +253,25 @@ def _inner(layer: Layer, room: dict[tuple[int, int], int], seen: set[bytes]) ->
                     elif layer.start is not None:
                         start, end = layer.start[start], layer.end[end - 1]
                     yield Layer(text, start, end, layer.run)
-    for m in _BASE64.finditer(layer.text):
-        a, b = layer.place(m.start(), m.end())
-        run = layer.run or (a, b)
-        left = room.setdefault(run, MAX_DECODED + _OWN * len(m[0]))
-        if left < 0:
-            continue
-        try:
-            text = _unpacked(m[0], left)
-        except _Full:
-            room[run] = -1
-            yield run
-            continue
-        if text is None:
-            continue
-        inner = Layer(text, a, b, run)
-        if inner.name() not in seen:
-            room[run] -= len(text)
-            yield inner if room[run] >= 0 else run
+    for start, end, run in _runs(layer.text):
+        a, b = layer.place(start, end)
+        outer = layer.run or (a, b)
+        room.setdefault(outer, MAX_DECODED + _OWN * len(run))
+        for reading in _readings(run):
+            if room[outer] < 0:
+                break
+            try:
+                text = _unpacked(reading, room[outer])
+            except _Full:
+                room[outer] = -1
+                yield outer
+                break
+            if text is None:
+                continue
+            inner = Layer(text, a, b, outer)
+            if inner.name() not in seen:
+                room[outer] -= len(text)
+                yield inner if room[outer] >= 0 else outer
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -1,8 +1,10 @@
 """Classifier, BPE, token files, secrets, near duplicates and passages against brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -269,6 +271,35 @@ def test_a_layer_is_scanned_once_at_its_place(monkeypatch):
     assert sorted(seen) == sorted({"a%41\\u0042z", "aA\\u0042z", "a%41Bz", "aABz"})
 
 
+def _lines(run, width, end="\n"):
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_every_compressed_member_is_scanned(pack):
+    filler = " ".join(str(n * 7919) for n in range(60)).encode()
+    run = base64.b64encode(pack(filler) + pack(b"see " + KEY.encode() + b" here")).decode()
+    assert (1, 0, len(run)) in secrets.find_all(run)[1]
+    for width, end in ((64, "\n"), (76, "\r\n")):
+        text = f"Content:\n{_lines(run, width, end)}\n--end of it"
+        found = [s for s in secrets.find_all(text)[1] if s[0] == 1]
+        assert found and text[found[0][1] : found[0][2]] == _lines(run, width, end)
+    glued = f"see /files/a_b/{run}"
+    assert any(k == 1 for k, _, _ in secrets.find_all(glued)[1])
+
+
+def test_wrapped_glued_and_unclean_runs_are_scanned():
+    plain = b"x" * 40 + KEY.encode() + b"y " * 30
+    wrapped = _lines(base64.b64encode(plain).decode(), 64)
+    assert any(k == 1 and b - a == len(wrapped) for k, a, b in secrets.find_all(wrapped)[1])
+    run = base64.b64encode(b"see " + KEY.encode() + b" here").decode()
+    for glue in ("", "a", "ab", "abc", "/path/", "a-b_"):
+        assert any(k == 1 for k, _, _ in secrets.find_all(glue + run)[1]), glue
+    for flaw in (b"\x00\x01", b"\xff\xfe"):
+        run = base64.b64encode(flaw + b" see " + KEY.encode() + b" here" + flaw).decode()
+        assert any(k == 1 for k, _, _ in secrets.find_all(run)[1])
+
+
 def test_secrets_handle_awkward_rows(awkward, nothing):
     df, rows = awkward
     got = secrets.secret_scan(df)
