@@ -24,8 +24,9 @@ from estate.llm.common import documents, table
 
 
 VOCABULARY = "byte_bpe_50k.json"
-# The id that ends a document in that vocabulary.
-END_OF_DOCUMENT = 50256
+# One more than the last id of that vocabulary, so no text can hold it: its own end of
+# text, 50256, is also what "<|endoftext|>" spelt out is encoded to. Fits 16 bits.
+END_OF_DOCUMENT = 50257
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:

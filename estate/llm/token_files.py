@@ -34,6 +34,8 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 def write_token_files(encoded: DataFrame, separator: int, width: int = 2, ids: str = "ids") -> DataFrame:
     """Write the ids of every row, each followed by ``separator``, to flat files.
 
+    The separator must be an id that no row holds; a row with it is refused, as it would
+    be read as two.
     One file per partition, in the shared scratch folder. Returns where each row went:
     ``doc_id``, ``path``, ``document`` (its number in the file). A task that is run
     again writes a file of its own; only files named in the result count.
@@ -56,6 +58,8 @@ def write_token_files(encoded: DataFrame, separator: int, width: int = 2, ids: s
                     data = np.asarray(value.values if value.is_valid else [], dtype=np.int64)
                     if len(data) and (data.min() < 0 or data.max() >= 1 << (8 * width)):
                         raise ValueError(f"a token does not fit {width} bytes")
+                    if (data == separator).any():
+                        raise ValueError(f"the separator {separator} stands inside a row")
                     out.write(np.append(data, separator).astype(_TYPES[width]).tobytes())
                 numbers = pa.array(np.arange(written, written + len(batch)))
                 written += len(batch)

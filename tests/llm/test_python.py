@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from estate.llm import bpe, near_dup, quality_classifier, secrets, suffix_dedup, token_files
+from estate.llm import bpe, near_dup, quality_classifier, queries, secrets, suffix_dedup, token_files
 
 from .conftest import prose
 
@@ -175,6 +175,17 @@ def test_written_documents_are_counted(spark, awkward, nothing, library):
     assert token_files.token_counts(index, END).count() == 0
 
 
+def test_a_spelt_out_separator_ends_no_document(spark, docs, library, tmp_path):
+    texts = ["one two", "before <|endoftext|> after it", "three four five", "<|endoftext|>", "six"]
+    docs(texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_token_counts(spark, str(tmp_path))
+    want = [(i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, got.collect())) == want
+    assert queries.END_OF_DOCUMENT not in bpe.Bpe(VOCABULARY, PATTERN).token
+    with pytest.raises(Exception, match="stands inside a row"):
+        token_files.write_token_files(bpe.encode(docs(texts), VOCABULARY, PATTERN), END)
+
+
 # Secrets
 
 KEY = "AKIA" + "B7" * 9
