@@ -35,11 +35,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles.
 
-    Of rows that agree in their key one stays, where the key is that of the group.
+    The row with the smallest key stays, of rows that agree in their key the one with the
+    smallest row number. A null key is passed over as the smallest unless all are null.
     """
-    found = near_dup.near_duplicates(docs, words=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    rows = materialize(docs.select(whole, F.monotonically_increasing_id().alias("_at")), "numbered")
+    plain = rows.select("_at", F.col("_whole.doc_id").alias("doc_id"), F.col("_whole.text").alias("text"))
+    found = near_dup.near_duplicates(plain, key="_at", words=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("_at"), "component_id").join(plain.select("_at", "doc_id"), "_at")
+    first = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_at")).alias("_first")
+    )
+    return rows.join(first.select(F.col("_first._at").alias("_at")), "_at", "left_semi").select("_whole.*")
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,14 @@ def test_rows_of_one_key_share_their_fate(spark, docs, corpus):
     assert corpus_pipeline.near_duplicates(spark, rows, corpus).count() >= 1
 
 
+def test_one_row_of_a_group_stays(spark, corpus):
+    same, other = prose(1, 40), prose(2, 40)
+    rows = [(7, same), (7, same), (7, same), (7, other), (3, other), (None, same), (None, prose(3, 40)), (None, prose(3, 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, corpus).collect()
+    assert Counter(map(tuple, got)) == Counter([(7, same), (3, other), (None, prose(3, 40))])
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_operators_match_sql(spark, name):
     ok, note = compare(registry.QUERIES[name](spark, SF), duck(SF), registry.ORACLE[name])
