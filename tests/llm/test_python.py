@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from estate.llm import bpe, near_dup, quality_classifier, queries, secrets, suffix_dedup, token_files
+from estate.llm import bpe, near_dup, quality_classifier, queries, secrets, suffix_dedup, token_files, wordhash
 
 from .conftest import prose
 
@@ -487,3 +487,27 @@ def test_passages_handle_awkward_rows(awkward, nothing):
         [(r[0], r[1]) for r in rows], 50
     )
     assert suffix_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_windows_that_agree_in_half_a_name_are_no_match(docs):
+    # One seed in many contexts, of which two have windows with the same 32 upper bits.
+    vocabulary = [f"w{n}" for n in range(4000)]
+    hashes = wordhash._words([" ".join(vocabulary).encode()])[0]
+    rng = np.random.default_rng(5)
+    runs = rng.integers(0, len(vocabulary), 16 * 100_000)
+    at = int(np.argmin(suffix_dedup._named(hashes[runs], 16)))  # the seed nearly every window has
+    texts = rng.integers(0, len(vocabulary), (300_000, 50))
+    texts[:, 17:33] = runs[at : at + 16]
+    names = suffix_dedup._named(hashes[texts.reshape(-1)], 50)[::50]
+    order = np.argsort(names)
+    near = np.flatnonzero(np.diff(names[order] >> np.uint64(32)) == 0)
+    assert len(near)
+    for i in near:
+        pair = [" ".join(vocabulary[w] for w in texts[order[j]]) for j in (i, i + 1)]
+        seeds = {int(s[0]) for p in pair for _, s, _, _ in suffix_dedup._suffixes(*wordhash._words([p.encode()]), 50, 16)}
+        if len(seeds) == 1:
+            break
+    else:
+        raise AssertionError("no pair with one seed")
+    assert suffix_dedup.repeated_passages(docs(pair)).count() == 0
+    assert suffix_dedup.repeated_passages(docs([pair[0]] * 2)).count() == 2
