@@ -44,7 +44,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), packing.word_count())
+    return packing.pack(_encoded(spark, sf_dir), F.size("ids"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,17 @@ def test_a_spelt_out_separator_ends_no_document(spark, docs, library, tmp_path):
         token_files.write_token_files(bpe.encode(docs(texts), VOCABULARY, PATTERN), END)
 
 
+def test_packing_counts_tokens(spark, docs, library, tmp_path):
+    texts = ["one two three", "https://example.org/" + "a1b2" * 2000, "", None, "漢字" * 50]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter()
+    for r in queries.op2_packing(spark, str(tmp_path)).collect():
+        assert r.n_tokens <= 2048
+        got[r.doc_id] += r.n_tokens
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert want[1] > 2048 and got == Counter({i: n for i, n in want.items() if n})
+
+
 # Secrets
 
 KEY = "AKIA" + "B7" * 9
