@@ -18,12 +18,19 @@ def _renewed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``_whole`` with a number ``_at``, written once; and number, key, text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    rows = materialize(docs.select(whole, F.monotonically_increasing_id().alias("_at")), "numbered")
+    return rows, rows.select("_at", F.col("_whole.doc_id").alias("doc_id"), F.col("_whole.text").alias("text"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the log-likelihood ratio keep."""
     trusted = quality_rules.trusted_rows(table(spark, sf_dir, "labels"))
-    whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = quality_rules.quality_rules(whole, trusted, "_whole.doc_id", "_whole.text", keep=["_whole"])
-    return judged.where("kept").select("_whole.*")
+    rows, plain = _numbered(docs)
+    judged = quality_rules.quality_rules(plain, trusted, keep=["_at"])
+    return rows.join(judged.where("kept").select("_at"), "_at", "left_semi").select("_whole.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The row with the smallest key stays, of rows that agree in their key the one with the
     smallest row number. A null key is passed over as the smallest unless all are null.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
-    rows = materialize(docs.select(whole, F.monotonically_increasing_id().alias("_at")), "numbered")
-    plain = rows.select("_at", F.col("_whole.doc_id").alias("doc_id"), F.col("_whole.text").alias("text"))
+    rows, plain = _numbered(docs)
     found = near_dup.near_duplicates(plain, key="_at", words=5, percent=80)
     groups = found.select(F.col("doc_id").alias("_at"), "component_id").join(plain.select("_at", "doc_id"), "_at")
     first = groups.groupBy("component_id").agg(

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from estate.llm.common import words_of
 from estate.session import materialize
@@ -74,32 +75,36 @@ def base_counts(docs: DataFrame, text: str, keep: Sequence[Column]) -> DataFrame
 
 
 def _grams(docs: DataFrame, buckets: int | None) -> DataFrame:
-    """The other columns of ``docs`` and ``_gram``, a row for each n-gram of ``_text``.
+    """The other columns of ``docs`` and ``_gram``, a row for each n-gram of ``_words``;
+    one with a null where there is none.
 
     The n-grams are all runs of three characters, with the words of the text parted by
     one blank and a blank on both sides, each named by 64 bits. With ``buckets`` they
     are the first and the last characters of each word alone, in so many buckets.
     """
-    words = words_of(F.col("_text"))
-    others = [c for c in docs.columns if c != "_text"]
+    others = [c for c in docs.columns if c != "_words"]
     if buckets is None:
-        flat = F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+        flat = F.when(F.size("_words") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
         # A look-ahead steps through the text once, at any length of a word.
         runs = F.regexp_extract_all(flat, F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))
-        return docs.select(*others, F.explode(runs).alias("_run")).select(*others, F.xxhash64("_run").alias("_gram"))
+        name = F.when(F.col("_run").isNotNull(), F.xxhash64("_run"))
+        return docs.select(*others, F.explode_outer(runs).alias("_run")).select(*others, name.alias("_gram"))
     ends = (f"xxhash64(substring(_w, 1, {GRAM}))", f"xxhash64(substring(_w, -{GRAM}, {GRAM}), 1)")
-    both = F.array(*[F.expr(f"pmod({h}, {buckets}L)") for h in ends])
-    return docs.select(*others, F.explode(words).alias("_w")).select(*others, F.explode(both).alias("_gram"))
+    both = F.array(*[F.expr(f"if(_w is null, null, pmod({h}, {buckets}L))") for h in ends])
+    return docs.select(*others, F.explode_outer("_words").alias("_w")).select(*others, F.explode(both).alias("_gram"))
 
 
-def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int | None, prior: int) -> DataFrame:
-    """``_gram`` and ``_ratio``, the log ratio in millionths, of every n-gram in ``rows``.
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int | None, prior: int) -> DataFrame:
+    """``_gram`` and ``_ratio``, the log ratio in millionths, of every n-gram in ``docs``.
 
-    ``rows`` has ``_key`` and ``_text``; ``trusted`` has the trusted keys, ``_key``, each
-    once. Both counts cover every document.
+    ``trusted`` names the trusted rows by key. Both counts cover every document.
     """
-    flagged = rows.select("_key", "_text").join(trusted.withColumn("_trusted", F.lit(1)), "_key", "left")
-    grams = _grams(flagged.select(F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("_trusted"), "_text"), buckets)
+    known = trusted.select(F.col(key).alias("_key")).distinct().withColumn("_trusted", F.lit(1))
+    flagged = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known, "_key", "left")
+    flagged = flagged.select(
+        F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("_trusted"), words_of(F.col("_text")).alias("_words")
+    )
+    grams = _grams(flagged, buckets).where("_gram is not null")
     counted = materialize(grams.groupBy("_gram").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good")), "ngrams")
     p = F.col("_raw") / counted.agg(F.sum("_raw")).scalar()
     ratio = F.log((F.col("_good") + prior * p) / ((counted.agg(F.sum("_good")).scalar() + prior) * p))
@@ -119,39 +124,35 @@ def quality_rules(
     Null and empty texts have no words and fail the base rules. Repeated rows are
     judged each on their own. Columns in ``keep`` that clash with a result column give
     way to it. Without trusted rows every ratio is zero. An empty table gives no rows.
-    Key and text may be fields of a column in ``keep``.
+    Kept columns of a fixed width go along with the n-grams; others are written once with a
+    row number and joined to the verdicts.
     """
+    ratios = materialize(log_ratios(docs, trusted, key, text, buckets, prior), "log-ratios")
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio"}
     kept = [c for c in (keep or [key]) if c not in made]
-    # Rows are numbered once and written, so that both passes mean the same row. A text
-    # that is kept is not written twice.
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    if text.split(".")[0] in kept:
-        rows = materialize(rows.drop("_text"), "judged-rows").withColumn("_text", F.col(f"_doc.{text}"))
-    else:
-        rows = materialize(rows, "judged-rows")
-    known = trusted.select(F.col(trusted.columns[0] if "." in key else key).alias("_key")).distinct()
-    ratios = materialize(log_ratios(rows, known, buckets, prior), "log-ratios")
-    scores = (
-        _grams(rows.select("_row", "_text"), buckets).join(ratios, "_gram")
-        .groupBy("_row").agg(F.sum("_ratio").alias("_sum"), F.count("*").alias("_n"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc")
+    short = all(isinstance(docs.schema[c].dataType, (NumericType, BooleanType, DateType, TimestampType)) for c in kept)
+    rows = docs.select(whole, F.col(text).alias("_text"))
+    if not short:
+        rows = materialize(rows.withColumn("_number", F.monotonically_increasing_id()), "judged-rows")
+    counts = base_counts(rows, "_text", [F.col("_doc" if short else "_number")])
+    # The row number tells repeated rows apart. It also keeps filters on the verdict above
+    # this point; pushed below, they would compute all of the counts once more for each use.
+    counts = counts.withColumn("_row", F.monotonically_increasing_id())
+    step = _grams(counts, buckets).join(ratios, "_gram", "left")
+    step = step.groupBy(*[c for c in counts.columns if c != "_words"]).agg(
+        F.sum("_ratio").alias("_sum"), F.count("_gram").alias("_n")
     )
-    # A number made here keeps filters on the verdict above this point; pushed below, they
-    # would compute all of the counts once more for each use.
-    counts = base_counts(rows, "_text", [F.col("_doc"), F.col("_row")]).drop("_words")
-    counts = counts.withColumn("_at", F.monotonically_increasing_id())
-    step = counts.join(scores, "_row", "left")
+    if not short:
+        step = step.join(rows.select("_number", "_doc"), "_number")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    good = F.col("_n").isNull() | (F.col("_sum") >= F.col("_n") * F.lit(int(threshold * _MILLION)))
+    good = (F.col("_n") == 0) | (F.col("_sum") >= F.col("_n") * F.lit(int(threshold * _MILLION)))
     return step.select(
         *[F.col(f"_doc.`{c}`").alias(c) for c in kept],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & good & (F.col("_at") >= 0)).alias("kept"),
-        (F.col("_sum") / F.col("_n") / _MILLION).alias("log_ratio"),
+        (~failed & good).alias("kept"),
+        F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / _MILLION).alias("log_ratio"),
     )
 
 
