@@ -139,7 +139,9 @@ def quality_rules(
     # The row number tells repeated rows apart. It also keeps filters on the verdict above
     # this point; pushed below, they would compute all of the counts once more for each use.
     counts = counts.withColumn("_row", F.monotonically_increasing_id())
-    step = _grams(counts, buckets).join(ratios, "_gram", "left")
+    # The table of three-character n-grams is bounded by the alphabet; the other side has a
+    # row for every character of the corpus and must not be dealt out.
+    step = _grams(counts, buckets).join(F.broadcast(ratios), "_gram", "left")
     step = step.groupBy(*[c for c in counts.columns if c != "_words"]).agg(
         F.sum("_ratio").alias("_sum"), F.count("_gram").alias("_n")
     )
