@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from estate.llm import (
     bpe,
     exact_dedup,
+    fill_middle,
     line_dedup,
     near_dup,
     packing,
     quality_classifier,
     quality_rules,
+    relative_parse,
     secrets,
     suffix_dedup,
     token_files,
@@ -83,11 +85,25 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fill_middle.restore(fill_middle.fill_in_middle(documents(spark, sf_dir)))
+    return samples.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = relative_parse.substring_dedup(documents(spark, sf_dir))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_packing, op3_bpe, op4_suffix_dedup, op5_quality_rules, op6_token_counts,
         op7_exact_dedup, op8_line_dedup, op9_secret_scan, op10_near_dup,
+        op11_fill_middle, op13_substring_dedup,
     )
 }
 
@@ -117,4 +133,56 @@ ORACLE = {
         SELECT d.doc_id, d.source, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped,
                CASE WHEN d.text IS NOT NULL THEN coalesce(c.kept_text, '') END AS kept_text
         FROM pages d LEFT JOIN clean c ON d.page = c.page""",
+    "op11_fill_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+                   sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        drawn AS (
+            SELECT *, len(units) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+                   ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4
+            FROM cut),
+        placed AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS one, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS two,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR h3 % 100 >= 100 THEN 'plain'
+                        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        pieces AS (
+            SELECT *, coalesce(array_to_string(units[1:one], ''), '') AS p,
+                   coalesce(array_to_string(units[one + 1:two], ''), '') AS m,
+                   coalesce(array_to_string(units[two + 1:], ''), '') AS s
+            FROM placed)
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM pieces""",
+    "op13_substring_dedup": rf"""
+        WITH parted AS (
+            SELECT row_number() OVER () AS nr, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        starts AS (
+            SELECT nr, doc_id, words, unnest(range(1, len(words) - {relative_parse.LEAST - 2})) AS p
+            FROM parted WHERE len(words) >= {relative_parse.LEAST}),
+        windows AS (
+            SELECT nr, doc_id, p, md5(array_to_string(words[p:p + {relative_parse.LEAST - 1}], ' ')) AS name FROM starts),
+        known AS (
+            SELECT nr, p FROM (SELECT nr, p, doc_id, min(doc_id) OVER (PARTITION BY name) AS lo FROM windows)
+            WHERE lo < doc_id),
+        gone AS (
+            SELECT nr, list_distinct(flatten(list(range(p, p + {relative_parse.LEAST})))) AS spots FROM known GROUP BY nr),
+        marked AS (
+            SELECT d.nr, d.doc_id, d.words, coalesce(g.spots, []) AS spots FROM parted d LEFT JOIN gone g ON d.nr = g.nr),
+        each AS (SELECT nr, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM parted),
+        cut AS (SELECT nr, unnest(spots) AS p FROM gone),
+        rest AS (
+            SELECT e.nr, string_agg(e.word, ' ' ORDER BY e.p) AS kept
+            FROM each e LEFT JOIN cut c ON e.nr = c.nr AND e.p = c.p WHERE c.p IS NULL GROUP BY e.nr)
+        SELECT m.doc_id, len(m.words) AS n_words, len(m.spots) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+        FROM marked m LEFT JOIN rest r ON m.nr = r.nr""",
 }

@@ -1,4 +1,4 @@
-"""What the driver registers: the ten operators and the pipeline over the documents."""
+"""What the driver registers: the operators and the pipeline over the documents."""
 
 import corpus_pipeline
 from estate.llm import queries
