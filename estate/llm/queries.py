@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from estate.llm import (
     bpe,
+    collocations,
     exact_dedup,
     fill_middle,
     line_dedup,
@@ -93,6 +94,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = relative_parse.substring_dedup(documents(spark, sf_dir))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -103,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier, op2_packing, op3_bpe, op4_suffix_dedup, op5_quality_rules, op6_token_counts,
         op7_exact_dedup, op8_line_dedup, op9_secret_scan, op10_near_dup,
-        op11_fill_middle, op13_substring_dedup,
+        op11_fill_middle, op12_phrase_mining, op13_substring_dedup,
     )
 }
 
@@ -161,6 +166,40 @@ ORACLE = {
                       ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(text) AS restored_sha256
         FROM pieces""",
+    "op12_phrase_mining": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS nr,
+                   regexp_extract_all(unnest(regexp_split_to_array(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+            FROM documents WHERE text IS NOT NULL),
+        starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS p FROM pieces),
+        runs AS (
+            SELECT lang, size, array_to_string(words[p:p + size - 1], ' ') AS phrase
+            FROM starts, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE p + size - 1 <= len(words)),
+        totals AS (SELECT lang, count(*) AS n FROM runs WHERE size = 1 GROUP BY lang),
+        f AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY lang, size, phrase HAVING count(*) >= 30),
+        found AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+        cuts AS (SELECT *, unnest(range(1, size)) AS k FROM found),
+        parts AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+            FROM cuts c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')),
+        lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pos FROM parts),
+        inside AS (
+            SELECT lang, array_to_string(words[b:b + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS b
+                  FROM (SELECT *, unnest(range(2, size)) AS m FROM found))
+            GROUP BY ALL),
+        kept AS (
+            SELECT w.* FROM lowest w LEFT JOIN inside i ON w.lang = i.lang AND w.phrase = i.phrase
+            WHERE w.pos = 1 AND NOT coalesce(100 * i.longer >= 80 * w.a, false)),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
+        FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000""",
     "op13_substring_dedup": rf"""
         WITH parted AS (
             SELECT row_number() OVER () AS nr, doc_id,
