@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ SHARD_WORDS = 2_000_000
 # A word of its own takes memory beside its number.
 SHARD_NEW_BYTES = 32 << 20
 BLOCK_BYTES = 1 << 20
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 MERGE_STATES = 2_000_000
 REQUESTS = 200_000
 _SALTS = 4
@@ -158,6 +159,11 @@ def _shards(docs: DataFrame, lang: str, text: str, longest: int, ranges: int) ->
     return rows.mapInArrow(run, "home bigint, counts binary")
 
 
+def _bare(roots: pa.Array) -> pa.Array:
+    """Languages without the blank before them."""
+    return pc.utf8_slice_codeunits(roots.cast(pa.string()), 1)
+
+
 def _united(shards: DataFrame, least: int) -> DataFrame:
     """Phrases with their counts, ``least`` at least, and the number of words per language.
 
@@ -168,10 +174,9 @@ def _united(shards: DataFrame, least: int) -> DataFrame:
         for depth, columns, weight in ct.phrases(of, least):
             if depth == 0:
                 continue
-            names = [b" ".join(p) for p in zip(*columns[1:])]
+            names = pc.binary_join_element_wise(*columns[1:], pa.scalar(b" ", pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w[1:] for w in columns[0]], pa.binary()).cast(pa.string()),
-                 pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.full(len(names), depth), pa.int32()),
+                [_bare(columns[0]), names.cast(pa.string()), pa.array(np.full(len(names), depth), pa.int32()),
                  pa.array(weight, pa.int64())],
                 ["lang", "phrase", "words", "f"],
             )
@@ -179,7 +184,7 @@ def _united(shards: DataFrame, least: int) -> DataFrame:
         total = np.zeros(len(roots.label), np.int64)
         np.add.at(total, singles.parent, singles.weight)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([of.labels[i][1:] for i in roots.label.tolist()], pa.binary()).cast(pa.string()),
+            [_bare(of.labels.take(pa.array(roots.label))),
              pa.nulls(len(total), pa.string()), pa.array(np.zeros(len(total)), pa.int32()), pa.array(total, pa.int64())],
             ["lang", "phrase", "words", "f"],
         )

@@ -3,7 +3,9 @@
 A transducer reads a phrase label by label from its root and gives the weight of the state
 it ends in. It is held level by level: the states of a depth are sorted by the state they
 come from and their label, which is the order in which sorted phrases open them, and each
-has its weight, zero where nothing ends. Every step works on whole levels as arrays.
+has its weight, zero where nothing ends. Labels are numbered in byte order when a shard is
+built, and in the order they are met when transducers are united; every step works on
+whole levels and label tables as arrays.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Level(NamedTuple):
@@ -22,13 +25,18 @@ class Level(NamedTuple):
 
 
 class Transducer(NamedTuple):
-    labels: list[bytes]  # in byte order
+    labels: pa.Array  # binary, distinct
     levels: list[Level]
 
     def size(self) -> int:
         return sum(len(level.label) for level in self.levels)
 
 
+def _unique(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 def distinct(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct keys, the place of each key among them, and their summed weights."""
     if not len(keys):
@@ -68,7 +76,7 @@ def from_stream(words: np.ndarray, root: np.ndarray, labels: list[bytes], longes
         begin, state = begin[goes], state[goes]
         keys, state, count = distinct(state * many + number[begin + depth])
         levels.append(_level(keys, many, count))
-    return Transducer([labels[i] for i in order], levels)
+    return Transducer(pa.array([labels[i] for i in order], pa.binary()), levels)
 
 
 def from_phrases(phrases: Sequence[Sequence[bytes]], weights: Sequence[int]) -> tuple[Transducer, list[tuple[int, int]]]:
@@ -89,16 +97,17 @@ def from_phrases(phrases: Sequence[Sequence[bytes]], weights: Sequence[int]) ->
         state[own] = place
         ends[own[last]] = place[last]
         levels.append(_level(keys, many, total))
-    return Transducer(labels, levels), list(zip((length - 1).tolist(), ends.tolist()))
+    return Transducer(pa.array(labels, pa.binary()), levels), list(zip((length - 1).tolist(), ends.tolist()))
 
 
 def union(parts: Sequence[Transducer]) -> Transducer:
     """One transducer that gives each phrase the sum of its weights in all parts."""
     if len(parts) == 1:
         return parts[0]
-    labels = sorted(set().union(*[p.labels for p in parts]))
-    number = {word: i for i, word in enumerate(labels)}
-    names = [np.array([number[word] for word in p.labels], np.int64) for p in parts]
+    met = pa.concat_arrays([p.labels for p in parts]).dictionary_encode()
+    labels = met.dictionary
+    ends = np.cumsum([len(p.labels) for p in parts])
+    names = np.split(met.indices.to_numpy().astype(np.int64), ends[:-1])
     many = max(1, len(labels))
     states: list[np.ndarray] = [np.zeros(1, np.int64)] * len(parts)
     levels = []
@@ -119,8 +128,7 @@ def follow(counts: Transducer, asked: Transducer) -> list[np.ndarray]:
 
     Both are walked in step; a state that ``counts`` does not have weighs nothing.
     """
-    number = {word: i for i, word in enumerate(counts.labels)}
-    names = np.array([number.get(word, -1) for word in asked.labels], np.int64)
+    names = pc.fill_null(pc.index_in(asked.labels, value_set=counts.labels), -1).to_numpy().astype(np.int64)
     many = max(1, len(counts.labels))
     state, out = np.zeros(1, np.int64), []
     for depth, level in enumerate(asked.levels):
@@ -153,7 +161,7 @@ def split(whole: Transducer, homes: Sequence[np.ndarray]) -> Iterator[tuple[int,
         level, home = whole.levels[depth], homes[depth].astype(np.int64)
         many = max(1, len(level.label))
         own = home * many + np.arange(len(level.label))
-        keys = np.sort(own) if not len(above) else np.unique(np.concatenate([own, above]))
+        keys = np.sort(own) if not len(above) else _unique(np.concatenate([own, above]))
         at, state = keys // many, keys % many
         weight = np.where(home[state] == at, level.weight[state], 0)
         # A state that only stands for its own weight of none is needed by nobody.
@@ -163,9 +171,10 @@ def split(whole: Transducer, homes: Sequence[np.ndarray]) -> Iterator[tuple[int,
         rows.append((keys, at, state, weight))
         if depth:
             before = max(1, len(whole.levels[depth - 1].label))
-            above = np.unique(at * before + level.parent[state])
+            above = _unique(at * before + level.parent[state])
     rows.reverse()
-    ids = np.unique(rows[0][1])
+    ids = _unique(rows[0][1])
+    number = np.zeros(len(whole.labels), np.int64)
     edges = [np.searchsorted(at, np.append(ids, ids[-1] + 1 if len(ids) else 0)) for _, at, _, _ in rows]
     for i, home_id in enumerate(ids.tolist()):
         parts = []
@@ -178,19 +187,22 @@ def split(whole: Transducer, homes: Sequence[np.ndarray]) -> Iterator[tuple[int,
             else:
                 parent = np.zeros(b - a, np.int64)
             parts.append(Level(parent, level.label[state[a:b]], weight[a:b]))
-        used, place = np.unique(np.concatenate([p.label for p in parts]), return_inverse=True)
-        ends = np.cumsum([len(p.label) for p in parts])[:-1]
-        levels = [Level(p.parent, new, p.weight) for p, new in zip(parts, np.split(place, ends))]
-        yield home_id, Transducer([whole.labels[j] for j in used.tolist()], levels)
+        mark = np.zeros(len(whole.labels), bool)
+        for part in parts:
+            mark[part.label] = True
+        used = np.flatnonzero(mark)
+        number[used] = np.arange(len(used))
+        levels = [Level(p.parent, number[p.label], p.weight) for p in parts]
+        yield home_id, Transducer(whole.labels.take(pa.array(used)), levels)
 
 
-def phrases(of: Transducer, least: int = 1) -> Iterator[tuple[int, list[list[bytes]], np.ndarray]]:
-    """Per level from the first below the root label: phrases of at least that weight."""
+def phrases(of: Transducer, least: int = 1) -> Iterator[tuple[int, list[pa.Array], np.ndarray]]:
+    """Per level, phrases of at least that weight: a column for each of their labels, and the weights."""
     for depth, level in enumerate(of.levels):
         state = np.flatnonzero(level.weight >= least)
         weight, columns = level.weight[state], []
         for back in range(depth, -1, -1):
-            columns.append([of.labels[i] for i in of.levels[back].label[state].tolist()])
+            columns.append(of.labels.take(pa.array(of.levels[back].label[state])))
             state = of.levels[back].parent[state]
         yield depth, columns[::-1], weight
 
@@ -215,7 +227,9 @@ def _unpacked(data: memoryview, at: int) -> tuple[np.ndarray, int]:
 def encode(of: Transducer) -> bytes:
     """As bytes: labels, then per level the number of states from each state before it,
     labels and weights, in the narrowest integers, compressed."""
-    parts = [_packed(np.array([len(w) for w in of.labels], np.int64)), b"".join(of.labels)]
+    offsets = np.frombuffer(of.labels.buffers()[1], np.int32, len(of.labels) + 1, 4 * of.labels.offset)
+    words = memoryview(of.labels.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
+    parts = [_packed(np.diff(offsets).astype(np.int64)), words]
     before = 1
     for level in of.levels:
         parts += [_packed(np.bincount(level.parent, minlength=before)), _packed(level.label), _packed(level.weight)]
@@ -228,9 +242,11 @@ def decode(data: bytes) -> Transducer:
     size, many = np.frombuffer(data, np.int64, 2).tolist()
     raw = memoryview(pa.decompress(data[16:], size, "zstd", asbytes=True))
     lengths, at = _unpacked(raw, 0)
-    ends = (at + np.cumsum(lengths)).tolist()
-    labels = [bytes(raw[b - n : b]) for b, n in zip(ends, lengths.tolist())]
-    at = ends[-1] if ends else at
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    end = at + int(offsets[-1])
+    labels = pa.Array.from_buffers(
+        pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bytes(raw[at:end]))])
+    at = end
     levels = []
     for _ in range(many):
         children, at = _unpacked(raw, at)
@@ -238,4 +254,3 @@ def decode(data: bytes) -> Transducer:
         weight, at = _unpacked(raw, at)
         levels.append(Level(np.repeat(np.arange(len(children)), children), label, weight))
     return Transducer(labels, levels)
-
