@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from estate.llm.common import ship
 
@@ -190,7 +191,7 @@ def restore(samples: DataFrame, marks: Sequence[str] = MARKS) -> DataFrame:
     """
     _check(marks)
     ship(samples.sparkSession)
-    schema = samples.select("*", F.lit("").cast("string").alias("restored")).schema
+    schema = StructType([*samples.schema.fields, StructField("restored", StringType())])
     marks = tuple(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
