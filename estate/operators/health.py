@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate.plans.concurrent import WIDTH, side_by_side
 from estate.session import materialize
 from estate.sources.snapshot import error_of
 
@@ -36,6 +38,12 @@ LACKS = {
 }
 
 
+_REPORT = (
+    "position int, system string, target string, available boolean, figure string, value double, "
+    "error string, message string"
+)
+
+
 def capability_table(spark: SparkSession) -> DataFrame:
     """The matrix as rows; its size is fixed by the code above."""
     rows = [
@@ -62,32 +70,40 @@ def _figures(df: DataFrame) -> DataFrame:
     )
 
 
+def _section(position: int, system: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The figures of one system, written to the shared folder."""
+    found = _figures(build())
+    answered = found.select("target", F.lit("reachable").alias("figure"), F.lit(1.0).alias("value")).distinct()
+    return materialize(found.unionByName(answered).select(
+        F.lit(position).alias("position"), F.lit(system).alias("system"), "target",
+        F.lit(True).alias("available"), "figure", "value",
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("message"),
+    ), "section")
+
+
 def health(
-    spark: SparkSession, sections: Sequence[tuple[str, Callable[[], DataFrame]]]
+    spark: SparkSession, sections: Sequence[tuple[str, Callable[[], DataFrame]]], width: int = WIDTH,
+    limit_s: float | None = None,
 ) -> DataFrame:
     """One row per system, target and figure, in the given order of systems.
 
-    Each section builds a frame with ``target`` and numeric figures. Each is run and
-    written to the shared folder by itself: a section that fails, when built or when
-    run, costs one row with the type and the text of its error and leaves the others
-    alone. ``reachable`` is a figure like any other, 1 for every target that answered
-    and 0 for a section that did not. A NULL figure means unknown, not zero.
+    Each section builds a frame with ``target`` and numeric figures. Up to ``width`` run
+    side by side, each written to the shared folder by itself: a section that fails, when
+    built or when run, or takes longer than ``limit_s`` seconds, costs one row with the
+    type and the text of its error and leaves the others alone. ``reachable`` is a figure
+    like any other, 1 for every target that answered and 0 for a section that did not. A
+    NULL figure means unknown, not zero.
     """
+    jobs = {
+        (position, system): partial(_section, position, system, build)
+        for position, (system, build) in enumerate(sections, start=1)
+    }
+    failed: list[tuple] = []
     out = None
-    for position, (system, build) in enumerate(sections, start=1):
-        head = [F.lit(position).alias("position"), F.lit(system).alias("system"), "target"]
-        try:
-            found = _figures(build())
-            answered = found.select("target", F.lit("reachable").alias("figure"), F.lit(1.0).alias("value")).distinct()
-            rows = materialize(found.unionByName(answered).select(
-                *head, F.lit(True).alias("available"), "figure", "value",
-                F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("message"),
-            ), "section")
-        except Exception as problem:  # noqa: BLE001 - any failure is a report row
-            error, message = error_of(problem)
-            rows = spark.range(1).withColumn("target", F.lit(None).cast("string")).select(
-                *head, F.lit(False).alias("available"), F.lit("reachable").alias("figure"),
-                F.lit(0.0).alias("value"), F.lit(error).alias("error"), F.lit(message).alias("message"),
-            )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    for (position, system), found in side_by_side(spark, jobs, width, limit_s).items():
+        if isinstance(found, Exception):
+            failed.append((position, system, None, False, "reachable", 0.0, *error_of(found)))
+        else:
+            out = found if out is None else out.unionByName(found)
+    problems = spark.createDataFrame(failed, _REPORT)
+    return problems if out is None else out.unionByName(problems)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from estate.functions import predicates as P
 from estate.plans.closure import closure
+from estate.plans.shapes import skewed_join
 
 PUBLIC = "public"
 
@@ -80,10 +81,11 @@ def effective_privileges(holders: DataFrame, acl: DataFrame) -> DataFrame:
     """Grants reaching each role, with the role they come through.
 
     ``holders`` is a privilege closure without PUBLIC: what everybody holds is
-    listed once, under the role ``public``, and not repeated for every role.
+    listed once, under the role ``public``, and not repeated for every role. A group
+    that most roles belong to is split among tasks, and its grants go to each of them.
     """
     grants = acl.withColumnRenamed("grantee", "holder")
-    named = holders.join(grants.where(F.col("holder").isNotNull()), "holder")
+    named = skewed_join(holders, grants.where(F.col("holder").isNotNull()), "holder")
     everyone = grants.where(F.col("holder").isNull()).select(
         *[c for c in grants.columns if c != "holder"],
         F.lit(PUBLIC).alias("holder"), F.lit(PUBLIC).alias("role"),

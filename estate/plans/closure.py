@@ -1,53 +1,101 @@
-"""Transitive closure of an edge table by semi-naive rounds.
-
-Every round joins the pairs found last with the edges, reduces the result to one row
-per pair and flag, drops what is known and writes the rest to the shared folder. The
-cost follows the number of pairs, not the number of paths, and cycles end because no
-new pair is found. With given starts only their pairs are ever made. The plan is the
-same at every size. The driver sees one row count per round.
-
-A pair a round finds lies one edge behind a pair of the round before. It is known
-already only from rounds whose pairs are no longer than it, so all of them are looked
-up; what is written is removed again with ``estate.session.clear_scratch``.
+"""Transitive closure of an edge table, by doubling or by walking from given starts.
+
+Without starts, paths are doubled: once all pairs up to depth ``k`` are known, those at
+exactly ``k`` are continued by any known pair, which finds every pair up to ``2 k``. A
+shortest path of length between the two has a node at depth ``k``, so none is missed, and
+when no pair lies at exactly ``k`` none lies further. The rounds are the logarithm of the
+longest shortest path, also on a cycle through all nodes, and each pair is made once per
+node that halves its paths so, not once per path. With given starts only their pairs are
+made, one edge at a time, and the rounds are the depth reached from them.
+
+Pairs known so far are one table below the shared folder, bucketed by pair. What a round
+finds is grouped by the same key, so it meets the known pairs in place: neither side is
+shuffled for that, and known pairs are moved once per round, to be continued. Each round
+is a committed write, so a lost executor costs one round. The driver sees row counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from estate.session import scratch_path
 
-_COLUMNS = ("node", "reached", "flag", "depth", "via")
+# ``clean`` pairs are those over flagged edges alone; the others are over all edges.
+_KEY = ("node", "reached", "clean")
+_COLUMNS = (*_KEY, "depth", "via")
+
+
+class _Known:
+    """The pairs found so far: a bucketed table that rounds are appended to."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+        self.name = f"estate_pairs_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, pairs: DataFrame, ahead: Column) -> int:
+        """Add pairs; how many of them can be continued comes along without another job."""
+        seen = Observation()
+        (
+            pairs.select(*_COLUMNS).observe(seen, F.count_if(ahead).alias("n"))
+            .write.mode("append").format("parquet").option("path", self.path)
+            .bucketBy(self.buckets, *_KEY).saveAsTable(self.name)
+        )
+        return seen.get["n"]
+
+    def close(self) -> DataFrame:
+        """The files stay, the name goes."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def _shortest(paths: DataFrame) -> DataFrame:
-    """One row per pair and flag: the shortest, then the smallest last node."""
+    """One row per pair and kind: the shortest, then the smallest last node."""
     return (
         paths.where(F.col("node") != F.col("reached"))
-        .groupBy("node", "reached", "flag")
+        .groupBy(*_KEY)
         .agg(F.min(F.struct("depth", "via")).alias("_first"))
-        .select("node", "reached", "flag", F.col("_first.depth").alias("depth"),
-                F.col("_first.via").alias("via"))
+        .select(*_KEY, F.col("_first.depth").alias("depth"), F.col("_first.via").alias("via"))
     )
 
 
-def _extend(found: DataFrame, step: DataFrame) -> DataFrame:
-    """Paths of ``found`` continued by one row of ``step``."""
-    head = found.select("node", F.col("reached").alias("_at"), F.col("flag").alias("_f"),
-                        F.col("depth").alias("_d"))
-    tail = step.select(F.col("node").alias("_at"), "reached", "flag", "depth", "via")
-    return head.join(tail, "_at").select(
-        "node", "reached", (F.col("_f") & F.col("flag")).alias("flag"),
-        (F.col("_d") + F.col("depth")).alias("depth"), "via",
+def _extend(ahead: DataFrame, step: DataFrame) -> DataFrame:
+    """Paths of ``ahead`` continued by one row of ``step``."""
+    head = ahead.select("node", F.col("reached").alias("_at"), "clean", F.col("depth").alias("_d"))
+    tail = step.select(F.col("node").alias("_at"), "reached", "clean", "depth", "via")
+    return head.join(tail, ["_at", "clean"]).select(
+        "node", "reached", "clean", (F.col("_d") + F.col("depth")).alias("depth"), "via"
     )
 
 
-def _write(df: DataFrame, path: str) -> int:
-    """Write to the shared folder; the row count comes along without another job."""
-    seen = Observation()
-    df.select(*_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return seen.get["n"]
+def _fresh(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs not known yet; both sides lie by pair already."""
+    return _shortest(paths).join(known.select(*_KEY), list(_KEY), "left_anti")
+
+
+def _doubled(single: DataFrame, known: _Known) -> None:
+    depth, ahead = 1, known.append(single, F.lit(True))
+    while ahead:
+        paths = _extend(known.read().where(F.col("depth") == depth), known.read())
+        depth *= 2
+        ahead = known.append(_fresh(paths, known.read()), F.col("depth") == depth)
+
+
+def _walked(single: DataFrame, wanted: DataFrame, known: _Known, step_path: str) -> None:
+    single.write.parquet(step_path)
+    step = known.spark.read.schema(single.schema).parquet(step_path)
+    depth, ahead = 1, known.append(step.join(wanted, "node", "left_semi"), F.lit(True))
+    while ahead:
+        paths = _extend(known.read().where(F.col("depth") == depth), step)
+        depth += 1
+        ahead = known.append(_fresh(paths, known.read()), F.lit(True))
 
 
 def closure(
@@ -59,49 +107,33 @@ def closure(
     before ``reached`` on a shortest path, and ``flag`` is true when some path
     has it on every edge. A node never reaches itself. ``starts`` has the nodes
     to start from in its first column; without it every node is one. Runs its
-    rounds when called.
+    rounds when called; what they write goes with ``estate.session.clear_scratch``.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "closure")
+    passes = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    kinds = F.when(F.col("_flag"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     single = (
-        edges.select(
-            F.col(src).alias("node"), F.col(dst).alias("reached"),
-            (F.col(flag) if flag else F.lit(True)).alias("flag"),
-        )
+        edges.select(F.col(src).alias("node"), F.col(dst).alias("reached"), passes.alias("_flag"))
         .where(F.col("node").isNotNull() & F.col("reached").isNotNull())
         .where(F.col("node") != F.col("reached"))
         .groupBy("node", "reached")
-        .agg(F.max("flag").alias("flag"))
-        .select("*", F.lit(1).alias("depth"), F.col("node").alias("via"))
+        .agg(F.max("_flag").alias("_flag"))
+        .select("node", "reached", F.explode(kinds).alias("clean"), F.lit(1).alias("depth"),
+                F.col("node").alias("via"))
     )
-    schema = single.select(*_COLUMNS).schema
-
-    def read(*names: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[f"{root}/{n}" for n in names])
-
-    size = _write(single, f"{root}/step")
-    step, names = read("step"), ["step"]
-    if starts is not None:
+    known = _Known(spark, f"{root}/round-pairs", single.schema)
+    if starts is None:
+        _doubled(single, known)
+    else:
         wanted = starts.select(F.col(starts.columns[0]).alias("node")).distinct()
-        names = ["round-0"]
-        size = _write(step.join(wanted, "node", "left_semi"), f"{root}/round-0")
-    while size:
-        known = read(*names).select(
-            F.col("node").alias("_n"), F.col("reached").alias("_r"), F.col("flag").alias("_k")
-        )
-        reached = _shortest(_extend(read(names[-1]), step))
-        # A known pair only comes back to turn its flag from false to true.
-        fresh = reached.join(
-            known,
-            (reached.node == known._n) & (reached.reached == known._r) & (known._k | ~reached.flag),
-            "left_anti",
-        )
-        names.append(f"round-{len(names)}")
-        size = _write(fresh, f"{root}/{names[-1]}")
-    pairs = read(*names)
+        _walked(single, wanted, known, f"{root}/step")
+    pairs = known.close()
+    if flag is None:
+        return pairs.select("node", "reached", "depth", "via", F.lit(True).alias("flag"))
     return (
         pairs.groupBy("node", "reached")
-        .agg(F.min(F.struct("depth", "via")).alias("_first"), F.max("flag").alias("flag"))
+        .agg(F.min(F.when(~F.col("clean"), F.struct("depth", "via"))).alias("_first"), F.max("clean").alias("flag"))
         .select("node", "reached", F.col("_first.depth").alias("depth"),
                 F.col("_first.via").alias("via"), "flag")
     )

@@ -66,3 +66,36 @@ def hot_join(
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
+
+
+def heavy_keys(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Keys with more than a task's share of the rows, and into how many ``pieces`` to cut them.
+
+    Rows of a null key join with nothing and are not counted. Every heavy key holds more
+    than one part in ``tasks`` of all rows, so there are fewer than ``tasks`` of them at
+    any size of the input, and the result is safe to broadcast.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    shares = F.col("_n") * tasks / counts.agg(F.sum("_n")).scalar()
+    return counts.withColumn("_shares", shares).where("_shares > 1").select(
+        key, F.ceil("_shares").cast("int").alias("pieces")
+    )
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Inner join on a key that may hold a large share of ``left`` and many rows of ``right``.
+
+    A first pass counts ``left`` per key. Rows of heavy keys alone are dealt over as many
+    pieces as they have shares, and only the matching rows of ``right`` are repeated, once
+    per piece; all other keys join plainly, with nothing repeated.
+    """
+    tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(left, key, tasks)
+    one = F.coalesce(F.col("pieces"), F.lit(1))
+    dealt = left.join(F.broadcast(heavy), key, "left").withColumn(
+        "_piece", F.pmod(F.xxhash64(*left.columns), one).cast("int")
+    )
+    repeated = right.join(F.broadcast(heavy), key, "left").withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), one - 1))
+    )
+    return dealt.drop("pieces").join(repeated.drop("pieces"), [key, "_piece"]).drop("_piece")

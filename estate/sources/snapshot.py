@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from estate.functions.text import classify_sql
 from estate.operators.storage import page
+from estate.plans.concurrent import WIDTH, side_by_side
 from estate.schemas import schema_of
 from estate.session import materialize
 
@@ -98,22 +100,27 @@ def read_optional(
 
 
 def union_targets(
-    spark: SparkSession, reports: Mapping[str, DataFrame | Callable[[], DataFrame]]
+    spark: SparkSession, reports: Mapping[str, DataFrame | Callable[[], DataFrame]], width: int = WIDTH,
+    limit_s: float | None = None,
 ) -> tuple[DataFrame | None, DataFrame]:
     """The same report of every target as one frame, failures as a second one.
 
-    A target given as a function is built here. Each report is run and written to the
-    shared folder, so one that fails, when built or when run, leaves the others alone;
-    the second frame has the type and the text of its error. Columns a target lacks
-    are NULL.
+    A target given as a function is built here. Up to ``width`` targets run side by side,
+    each written to the shared folder, so one that fails, when built or when run, or does
+    not answer within ``limit_s`` seconds, leaves the others alone; the second frame has
+    the type and the text of its error. Columns a target lacks are NULL.
     """
+
+    def write(target: str, report: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+        df = report() if callable(report) else report
+        return materialize(df.withColumn("target", F.lit(target)), "target")
+
     rows: DataFrame | None = None
     failed: list[tuple[str, str, str]] = []
-    for target, report in reports.items():
-        try:
-            df = report() if callable(report) else report
-            df = materialize(df.withColumn("target", F.lit(target)), "target")
+    jobs = {target: partial(write, target, report) for target, report in reports.items()}
+    for target, df in side_by_side(spark, jobs, width, limit_s).items():
+        if isinstance(df, Exception):
+            failed.append((target, *error_of(df)))
+        else:
             rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
-        except Exception as problem:  # noqa: BLE001 - any failure is a report row
-            failed.append((target, *error_of(problem)))
     return rows, spark.createDataFrame(failed, "target string, error string, message string")

@@ -278,6 +278,20 @@ def _alert_stream(spark, d):
     return monitors.run_available(alerts, scratch_path(spark, "alerts")).select("query_id", "user_name", "elapsed_s", "is_live")
 
 
+def _outlasting_stream(spark, d):
+    """Views are handed in live; the end row of every third one follows."""
+    kind, key = F.col("event_type"), F.col("event_id")
+    done = F.struct(F.lit("success").alias("status"), F.floor("value").cast("bigint").alias("duration_s"))
+    live = F.struct(F.lit("running").alias("status"), F.lit(None).cast("bigint").alias("duration_s"))
+    rows = F.when(kind != "view", F.array(done)).when(key % 3 == 0, F.array(live, done)).otherwise(F.array(live))
+    log = _stream(spark, d).select(
+        X.s(key).alias("query_id"), X.name("u", "user_id").alias("user_name"), F.col("ts").alias("start_time"),
+        F.explode(rows).alias("row")).select("query_id", "user_name", "start_time", "row.*")
+    late = monitors.outlasting_stream(log, min_s=60, delay="1 hour")
+    return monitors.run_available(late, scratch_path(spark, "outlasting")).select(
+        "query_id", "user_name", "start_time", "elapsed_s")
+
+
 def _job_stream(spark, d):
     kind = F.col("event_type")
     jobs = _stream(spark, d).select(
@@ -319,6 +333,7 @@ QUERIES = {
     "k3_coverage": _coverage,
     "s1_metric_stream": _metric_stream,
     "s2_alert_stream": _alert_stream,
+    "s2_outlasting_stream": _outlasting_stream,
     "s3_job_health_stream": _job_stream,
 }
 
@@ -455,6 +470,16 @@ SELECT query_id, user_name, elapsed_s, is_live FROM (
   SELECT CAST(event_id AS VARCHAR) AS query_id, concat('u', CAST(user_id AS VARCHAR)) AS user_name, event_type = 'view' AS is_live, ts, event_type,
          CASE WHEN event_type = 'view' THEN date_sub('second', ts, {CLOCK_SQL}) ELSE CAST(floor(value) AS BIGINT) END AS elapsed_s FROM events) e
 WHERE (elapsed_s >= 60 AND (is_live OR ts >= {CLOCK_SQL} - INTERVAL 48 HOUR)) OR (event_type = 'error' AND ts >= {CLOCK_SQL} - INTERVAL 48 HOUR)""",
+    "s2_outlasting_stream": """
+WITH seen AS (
+  SELECT max(ts) FILTER (WHERE event_type = 'view') AS last_start,
+         max(ts + to_seconds(CAST(floor(value) AS BIGINT))) FILTER (WHERE event_type <> 'view' OR event_id % 3 = 0) AS last_end
+  FROM events)
+SELECT CAST(event_id AS VARCHAR) AS query_id, concat('u', CAST(user_id AS VARCHAR)) AS user_name, ts AS start_time,
+       CAST(60 AS BIGINT) AS elapsed_s
+FROM events, seen
+WHERE event_type = 'view' AND NOT (event_id % 3 = 0 AND floor(value) >= 0 AND floor(value) < 60)
+  AND ts + INTERVAL 60 SECOND < least(last_start, last_end) - INTERVAL 1 HOUR""",
     "s3_job_health_stream": """
 WITH h AS (
   SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS jobs, count(*) FILTER (WHERE event_type = 'error') AS failed,

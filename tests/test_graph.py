@@ -115,3 +115,96 @@ def test_effective_privileges_keep_public_apart(frame, rows):
 def test_direct_only_skips_ancestors(frame, rows):
     roles = frame([("u",)], "role string")
     assert rows(R.privilege_closure(roles)) == [("u", "public"), ("u", "u")]
+
+
+def test_rounds_are_the_logarithm_of_the_depth(frame, monkeypatch):
+    from estate.plans import closure as C
+
+    calls = []
+    real = C._Known.append
+    monkeypatch.setattr(C._Known, "append", lambda self, *a: calls.append(1) or real(self, *a))
+    size = 130
+    ring = [(f"n{i:03}", f"n{(i + 1) % size:03}", i != 5) for i in range(size)]
+    got = as_dict(closure(frame(ring, EDGE), "member", "role", "inherit"))
+    # One write of the edges and eight doublings reach 129 steps round the ring.
+    assert len(calls) <= 9
+    assert len(got) == size * (size - 1)
+    for start in (0, 7, 129):
+        for steps in (1, 2, 64, 100, 129):
+            to = (start + steps) % size
+            passed = {(start + i) % size for i in range(steps)}
+            assert got[f"n{start:03}", f"n{to:03}"] == (steps, f"n{(to - 1) % size:03}", 5 not in passed)
+
+
+def test_known_pairs_are_not_shuffled_to_be_looked_up(spark, frame):
+    from estate.plans import closure as C
+    from estate.session import scratch_path
+
+    edges = frame([(f"n{i}", f"n{i + 1}", False, 1, f"n{i}") for i in range(40)],
+                  "node string, reached string, clean boolean, depth int, via string")
+    known = C._Known(spark, scratch_path(spark, "known"), edges.schema)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known.append(edges, C.F.lit(True))
+        known.append(edges.limit(0), C.F.lit(True))
+        fresh = C._fresh(C._extend(known.read(), known.read()), known.read())
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        # Of the anti join only: the known side is the scan under its sort, nothing between.
+        known_side = plan[plan.index("LeftAnti"):].split("\n   :- ")[1].split("\n   +- ")[1]
+        assert "Exchange" not in known_side and "Bucketed: true" in known_side
+        assert fresh.count() == 39
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        known.close()
+
+
+def test_walks_and_doubling_agree(frame):
+    rng = random.Random(3)
+    edges = frame([(f"n{rng.randrange(18)}", f"n{rng.randrange(18)}", rng.random() < 0.5) for _ in range(40)], EDGE)
+    everyone = frame([(f"n{i}",) for i in range(18)], "name string")
+    assert as_dict(closure(edges, "member", "role", "inherit", everyone)) == as_dict(
+        closure(edges, "member", "role", "inherit"))
+
+
+def test_flags_that_are_null_do_not_pass(frame):
+    got = as_dict(closure(frame([("a", "b", None), ("b", "c", True)], EDGE), "member", "role", "inherit"))
+    assert got == {("a", "b"): (1, "a", False), ("b", "c"): (1, "b", True), ("a", "c"): (2, "b", False)}
+
+
+HOLDER = "role string, holder string"
+GRANT = ("scope string, object_name string, grantee string, privilege string, grantor string, "
+         "grantable boolean")
+
+
+def test_a_group_most_roles_belong_to_is_split_among_tasks(spark, frame):
+    from pyspark.sql import functions as F
+
+    from estate.plans.shapes import heavy_keys, skewed_join
+
+    tasks = 8
+    holders = frame([(f"u{i}", "everyone" if i % 10 else f"g{i % 70}") for i in range(4000)] + [("x", None)], HOLDER)
+    grants = frame([(g, f"t{i}") for g in ("everyone", "g0", "g10", "nobody") for i in range(5)], "holder string, object string")
+    heavy = {r.holder: r.pieces for r in heavy_keys(holders, "holder", tasks).collect()}
+    assert heavy == {"everyone": 8}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k in keep:
+        spark.conf.set(k, "false" if "adaptive" in k else "-1")
+    try:
+        joined = skewed_join(holders, grants, "holder", tasks)
+        plain = holders.join(grants, "holder")
+        share = {}
+        for name, df in (("split", joined), ("plain", plain)):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            share[name] = max(sizes) / sum(sizes)
+        assert share["plain"] > 0.9 and share["split"] < 0.5
+        assert sorted(map(tuple, joined.select("role", "holder", "object").collect())) == sorted(
+            map(tuple, plain.select("role", "holder", "object").collect()))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_privileges_of_nobody(frame):
+    held = R.effective_privileges(frame([], HOLDER), frame([("schema", "s", "a", "USAGE", "x", False)], GRANT))
+    assert held.count() == 0

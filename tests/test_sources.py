@@ -4,7 +4,8 @@ import json
 import os
 import subprocess
 import sys
-from datetime import datetime
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +249,97 @@ def test_alerts_without_a_clock_use_the_time_of_the_batch(spark, tmp_path):
     assert [r.query_id for r in got] == ["0"]
 
 
+LOG = "query_id string, user_name string, status string, start_time timestamp_ntz, duration_s bigint"
+
+
+def test_a_live_statement_is_reported_once_it_has_outlasted_the_limit(spark, tmp_path):
+    now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
+    at = lambda s: now + timedelta(seconds=s)
+
+    def hand_in(*rows):
+        spark.createDataFrame([(q, "u", *r) for q, *r in rows], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = monitors.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], LOG).schema)
+        got = monitors.run_available(monitors.alert_stream(stream, min_s=60), str(tmp_path / "run"))
+        return sorted((r.query_id, r.elapsed_s) for r in got.collect())
+
+    # Live and young: nothing yet. "quick" will end in time, "slow" after, "lost" never.
+    assert hand_in(("quick", "running", at(0), None), ("slow", "running", at(0), None), ("lost", "queued", at(5), None)) == []
+    assert hand_in(("quick", "success", at(0), 30), ("slow", "success", at(0), 200)) == [("slow", 200)]
+    # The clock of the log moves on; neither row is handed in again.
+    after = hand_in(("later", "success", at(5 * 3600), 1), ("later2", "running", at(5 * 3600), None))
+    after = hand_in(("more", "success", at(6 * 3600), 1), ("more2", "running", at(6 * 3600), None))
+    assert after == [("lost", 60), ("slow", 200)]
+
+
+def test_what_outlasts_equals_the_batch_filter(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    live = [(f"q{i}", "u", "running", start + timedelta(seconds=7 * i), None) for i in range(200)]
+    ends = [(f"q{i}", "u", "done", start + timedelta(seconds=7 * i), i % 130) for i in range(0, 200, 2)]
+    clock = [("z", "u", s, start + timedelta(hours=9), d) for s, d in (("running", None), ("done", 1))]
+    rows = spark.createDataFrame(live + ends + clock, LOG)
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = monitors.read_stream(spark, str(tmp_path / "in"), rows.schema)
+    got = monitors.run_available(monitors.outlasting_stream(stream, 60, "1 hour"), str(tmp_path / "run"))
+    quick = {f"q{i}" for i in range(0, 200, 2) if i % 130 < 60}
+    assert sorted(r.query_id for r in got.collect()) == sorted({q for q, *_ in live} - quick)
+
+
+def test_sections_run_side_by_side_and_one_that_hangs_costs_one_row(spark):
+    from estate.operators.health import health
+
+    def count():
+        return spark.range(3).groupBy(F.lit("t").alias("target")).agg(F.count("*").alias("rows"))
+
+    def hangs():
+        time.sleep(600)
+
+    def endless():
+        return spark.range(10**13).groupBy(F.lit("t").alias("target")).agg(F.max(F.xxhash64("id")).alias("n"))
+
+    began = time.monotonic()
+    out = health(spark, [("a", count), ("stuck", hangs), ("busy", endless), ("b", count)], width=2, limit_s=8)
+    got = {(r.system, r.figure): (r.available, r.value, r.error) for r in out.collect()}
+    assert time.monotonic() - began < 60
+    assert got["a", "rows"] == got["b", "rows"] == (True, 3.0, None)
+    assert got["stuck", "reachable"] == got["busy", "reachable"] == (False, 0.0, "TimeoutError")
+    assert len(got) == 6
+    # What was given up does not go on: nothing of it holds the executors.
+    assert spark.range(10).count() == 10
+
+
+def test_sections_see_the_callers_properties_and_keep_their_order(spark):
+    from estate.plans.concurrent import side_by_side
+
+    context = spark.sparkContext
+    context.setLocalProperty("estate.test", "seen")
+    pools = set()
+
+    def job(n):
+        def run():
+            pools.add(context.getLocalProperty("spark.scheduler.pool"))
+            if n == 3:
+                raise KeyError("three")
+            return n, context.getLocalProperty("estate.test")
+        return run
+
+    out = side_by_side(spark, {n: job(n) for n in range(6)}, width=3)
+    context.setLocalProperty("estate.test", None)
+    assert list(out) == list(range(6)) and isinstance(out.pop(3), KeyError)
+    assert list(out.values()) == [(n, "seen") for n in (0, 1, 2, 4, 5)]
+    assert len(pools) == 6 and context.getLocalProperty("spark.scheduler.pool") is None
+    assert side_by_side(spark, {}) == {}
+
+
+def test_targets_are_read_side_by_side(spark):
+    began = time.monotonic()
+    reports = {f"t{i}": (lambda i=i: time.sleep(1.5) or spark.range(i).withColumnRenamed("id", "n")) for i in range(6)}
+    reports["gone"] = lambda: spark.table("no_such_table")
+    reports["stuck"] = lambda: time.sleep(600)
+    rows, failed = snapshot.union_targets(spark, reports, limit_s=20)
+    assert rows.count() == 15 and time.monotonic() - began < 40
+    assert {r.target: r.error for r in failed.collect()} == {"gone": "AnalysisException", "stuck": "TimeoutError"}
+
+
 @pytest.mark.parametrize("n", [3, 1500])
 def test_a_hot_group_is_ranked_like_any_other(spark, n):
     df = spark.range(6000).select((F.col("id") % 10 == 0).alias("small"), "id")
