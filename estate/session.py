@@ -76,3 +76,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove what :func:`materialize` wrote for these frames, once nothing reads them.
+
+    Whatever was made from them must itself have been written, as lost tasks of a lazy
+    frame would look for its inputs again.
+    """
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            discard(frame.sparkSession, folder)
