@@ -10,7 +10,15 @@ from pyspark.sql.window import Window
 
 from estate.functions import predicates as P
 from estate.functions import text as T
-from estate.plans.shapes import top_k
+from estate.plans.shapes import spread, top_k
+from estate.session import materialize
+
+# A page that ends by this row is cut out of a top-k.
+SHALLOW = 10_000
+# Places of rows within a task's range, as Spark numbers them.
+_PLACE_BITS = 33
+# Sub-groups of a section in the passes of a capped list.
+_CAP_SUBGROUPS = (256, 16, 1)
 
 
 def stored_relations(relations: DataFrame, prefixes: str | Iterable[str] = ()) -> DataFrame:
@@ -122,14 +130,63 @@ def _with_more(fetched: DataFrame, order: Sequence[Column], limit: int) -> DataF
     )
 
 
+class Pages:
+    """All pages of a frame: ranked once, then any page is read alone.
+
+    Ranges of the order key are dealt to tasks by a sample, each task sorts its range, and
+    the rows are written with the place they have in it. The rows of each range are
+    counted, and what lies before a page follows by a prefix sum over as many numbers as
+    there were tasks. A page reads its own stretch of one or two ranges, however deep it
+    lies. Rows equal in the order key are told apart by a hash of all their columns, so
+    a frequent key is no task's alone.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str | Column]) -> None:
+        if not order_by:
+            raise ValueError("a page needs an order key")
+        self.columns = df.columns
+        self.order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+        self.order.append(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(tasks, *self.order).sortWithinPartitions(*self.order)
+        self.rows = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "pages")
+        counted = self.rows.groupBy(F.shiftright("_at", _PLACE_BITS).alias("range")).agg(F.count("*").alias("rows"))
+        self.ranges = sorted((r["range"], r["rows"]) for r in counted.collect())
+
+    @property
+    def total(self) -> int:
+        return sum(rows for _, rows in self.ranges)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """The rows ranked from ``first`` up to but not including ``last``, counted from 0."""
+        wanted, before = F.lit(False), 0
+        for number, rows in self.ranges:
+            a, b = max(first - before, 0), min(last - before, rows)
+            if a < b:
+                start = number << _PLACE_BITS
+                wanted = wanted | F.col("_at").between(start + a, start + b - 1)
+            before += rows
+        return self.rows.where(wanted)
+
+    def page(self, number: int, limit: int) -> DataFrame:
+        """One page (1-based) with a ``has_more`` column."""
+        if number < 1 or limit < 1:
+            raise ValueError("pages count from 1 and hold a row at least")
+        first = (number - 1) * limit
+        return self.between(first, first + limit).select(
+            *self.columns, F.lit(self.total > first + limit).alias("has_more")
+        )
+
+
 def page(
     df: DataFrame, order_by: Sequence[str | Column], limit: int, number: int = 1
 ) -> DataFrame:
     """One page (1-based) with a ``has_more`` column; limit 0 means all rows.
 
-    The order key is mandatory, otherwise two pages may overlap. Only ``limit + 1``
-    rows leave the top-k. For deep pages use :func:`page_after`, whose cost does
-    not grow with the page number.
+    The order key is mandatory, otherwise two pages may overlap. Of a shallow page only
+    ``limit + 1`` rows leave the top-k; one that ends behind row ``SHALLOW`` comes from
+    :class:`Pages`, which runs when called and is worth keeping for more than one page.
+    With a key to go on from, :func:`page_after` needs neither.
     """
     if not order_by:
         raise ValueError("a page needs an order key")
@@ -137,6 +194,8 @@ def page(
         raise ValueError("pages count from 1")
     if limit == 0:
         return df.withColumn("has_more", F.lit(False))
+    if number * limit > SHALLOW:
+        return Pages(df, order_by).page(number, limit)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     fetched = df.orderBy(*order).offset((number - 1) * limit).limit(limit + 1)
     return _with_more(fetched, order, limit)
@@ -149,12 +208,24 @@ def page_after(df: DataFrame, key: str, last: object | None, limit: int) -> Data
 
 
 def cap(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows of every section and how many more there are."""
+    """The first ``n`` rows of every section and how many more there are.
+
+    One pass over the input. A section is dealt over sub-groups; each sort of one leaves
+    its first ``n`` rows, and the first of them carries how many rows stood behind it. The
+    passes over ever fewer sub-groups add these up, so a hot section is never whole in one
+    task.
+    """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_all"))
+    df = df.withColumns({"_salt": spread(_CAP_SUBGROUPS[0], *df.columns), "_rows": F.lit(1).cast("bigint")})
+    for groups in _CAP_SUBGROUPS:
+        own = Window.partitionBy(*keys, F.col("_salt") % groups)
+        df = (
+            df.withColumn("_all", F.sum("_rows").over(own))
+            .withColumn("rank", F.row_number().over(own.orderBy(*by))).where(F.col("rank") <= max(n, 1))
+            .withColumn("_rows", F.when(F.col("rank") == 1, F.col("_all")).otherwise(F.lit(0)))
+        )
     return (
-        top_k(df, keys, by, n)
-        .join(sizes, list(keys))
+        df.where(F.col("rank") <= n)
         .withColumn("hidden", F.greatest(F.col("_all") - n, F.lit(0)).cast("bigint"))
-        .drop("_all")
+        .drop("_salt", "_rows", "_all")
     )

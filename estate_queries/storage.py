@@ -125,6 +125,11 @@ def _page(spark, d):
     return S.page(orders, ["o_custkey", "o_orderkey"], 100, 3)
 
 
+def _deep_page(spark, d):
+    rows = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return S.Pages(rows, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]).page(41, 100)
+
+
 def _page_after(spark, d):
     orders = X.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return S.page_after(orders, "o_orderkey", 1000, 100)
@@ -160,6 +165,7 @@ QUERIES = {
     "c5_schema_highlights": _highlights,
     "c6_page": _page,
     "c6_page_after": _page_after,
+    "c6_deep_page": _deep_page,
     "c7_cap_hidden": _cap,
     "k2_readable_ranking": _report,
 }
@@ -257,6 +263,9 @@ FROM orders ORDER BY o_custkey, o_orderkey LIMIT 100 OFFSET 200""",
     "c6_page_after": """
 SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders WHERE o_orderkey > 1000) > 100 AS has_more
 FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100""",
+    "c6_deep_page": """
+SELECT l_orderkey, l_linenumber, l_extendedprice, (SELECT count(*) FROM lineitem) > 4100 AS has_more
+FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100 OFFSET 4000""",
     "c7_cap_hidden": with_fx("fx_acl", """
 SELECT grantor, object_name, privilege, scope, grantee, CAST(rn AS INTEGER) AS rank,
        greatest(n - 8, 0) AS hidden

@@ -103,6 +103,57 @@ def test_pages_cover_everything_once(spark):
         S.page(df, [], 4)
 
 
+def test_any_page_of_ranked_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), (F.col("id") % 3).alias("k"),
+                                  F.when(F.col("id") % 2 == 0, "x").alias("s"))
+    pages = S.Pages(df, [F.col("id").desc()])
+    assert pages.total == 5000
+    for number, limit in ((1, 7), (100, 50), (33, 150), (34, 150), (5000, 1), (5001, 1), (1, 6000)):
+        got = pages.page(number, limit).collect()
+        want = list(range(4999, -1, -1))[(number - 1) * limit : number * limit]
+        assert sorted((r.id for r in got), reverse=True) == want
+        assert all(r.has_more == (number * limit < 5000) for r in got)
+    assert set(pages.page(1, 3).columns) == {"id", "k", "s", "has_more"}
+    with pytest.raises(ValueError):
+        S.Pages(df, [])
+    with pytest.raises(ValueError):
+        pages.page(0, 5)
+
+
+def test_deep_pages_hold_a_frequent_key_and_nulls_in_order(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.lit("same")).otherwise(
+        F.when(F.col("id") % 6 == 0, F.concat(F.lit("k"), F.col("id")))).alias("key"))
+    pages = S.Pages(df, ["key"])
+    # Ties are spread over tasks by a hash of the row: no range holds them all.
+    assert max(rows for _, rows in pages.ranges) < 1200
+    seen = [r for n in range(1, 31) for r in pages.page(n, 100).collect()]
+    assert sorted(r.id for r in seen) == list(range(3000))
+    blocks = [[r.key for r in pages.page(n, 500).collect()] for n in range(1, 7)]
+    flat = [k for b in blocks for k in sorted(b, key=lambda k: (k is not None, k or ""))]
+    assert flat == sorted(flat, key=lambda k: (k is not None, k or ""))
+
+
+def test_pages_behind_the_shallow_ones_agree_with_sorting(spark):
+    df = spark.range(30_000).select((F.col("id") * 7 % 30_000).alias("id"))
+    got = S.page(df, ["id"], 100, 200).collect()
+    assert sorted(r.id for r in got) == list(range(19_900, 20_000)) and got[0].has_more
+    assert S.page(df, ["id"], 100, 400).count() == 0
+    assert S.Pages(df.where("id < 0"), ["id"]).page(1, 5).count() == 0
+
+
+def test_cap_reads_its_input_once(spark, tmp_path):
+    spark.range(2000).select((F.col("id") % 7 % 3).alias("k"), "id").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    out = S.cap(df, ["k"], [F.col("id").desc()], 5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    for k in range(3):
+        got = out.where(f"k = {k}").orderBy("rank").collect()
+        ids = sorted((i for i in range(2000) if i % 7 % 3 == k), reverse=True)
+        assert [r.id for r in got] == ids[:5] and {r.hidden for r in got} == {len(ids) - 5}
+    assert S.cap(df, ["k"], ["id"], 0).count() == 0
+    assert {r.hidden for r in S.cap(df, ["k"], ["id"], 1500).collect()} == {0}
+
+
 def test_cap_reports_hidden(frame, rows):
     df = frame([("a", i) for i in range(5)] + [("b", 1)], "k string, v int")
     assert rows(S.cap(df, ["k"], ["v"], 2), "k", "v", "hidden") == [("a", 0, 3), ("a", 1, 3), ("b", 1, 0)]
