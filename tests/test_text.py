@@ -67,6 +67,31 @@ def test_masking_takes_whole_long_texts(frame, text):
     assert got.endswith(" end") or not text.endswith(" end")
 
 
+@pytest.mark.parametrize("text,masked", [
+    ("DB_SECRET_KEY: abc; x", "DB_SECRET_KEY: ***; x"), ('{"api_key": "a b", "n": 1}', '{"api_key": ***, "n": 1}'),
+    ("proxy-authorization=Basic Zm9v, next", "proxy-authorization=***, next"), ("deauthorization: yes", "deauthorization: yes"),
+    ("a=1&access-key=x&b=2", "a=1&access-key=***&b=2"), ("http://a:b@c http://d:e@f", "http://a:***@c http://d:***@f"),
+    ("http://h/a:b@c", "http://h/a:b@c"), ("the secret is out", "the secret is out"), ("password = 'a' 'b'", "password = *** 'b'"),
+    ("password '' x", "password *** x"), ("my_password2=x", "my_password2=x"), ("Basic = 1", "Basic = 1"),
+    ("é.token=x", "é.token=***"), ("token=bearer abc", "token=*** ***"), (None, None), ("", ""),
+])
+def test_the_grammar_form_by_form(frame, text, masked):
+    assert one(frame, text, masking.mask_secrets) == masked
+
+
+def test_masking_time_follows_the_length(frame):
+    import time
+
+    def seconds(text):
+        began = time.monotonic()
+        assert one(frame, text, lambda c: F.length(masking.mask_secrets(c))) > 0
+        return time.monotonic() - began
+
+    for unit in ("token", "token.", "://u", "password '", "secret:", "bearer "):
+        one(frame, unit, masking.mask_secrets)
+        assert seconds(unit * (2_000_000 // len(unit))) < 8, unit
+
+
 def test_classify_takes_long_texts(frame):
     assert one(frame, "\n " * 100000 + "select 1" + " \n" * 100000, T.classify_sql) == "read"
     assert one(frame, "/* " + "x\n" * 200000 + "*/ drop table t", T.classify_sql) == "write"
