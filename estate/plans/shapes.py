@@ -99,3 +99,45 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, tasks: int | None =
         "_piece", F.explode(F.sequence(F.lit(0), one - 1))
     )
     return dealt.drop("pieces").join(repeated.drop("pieces"), [key, "_piece"]).drop("_piece")
+
+
+# Bits of a membership bitmap per key, and at most: 16 MB in all, however many the keys.
+_BITS_PER_KEY, _MOST_BITS = 64, 1 << 27
+_BITMAP_BITS = 32_768  # of one row that bitmap_construct_agg makes
+
+
+def _may_be_member(df: DataFrame, column: str, keys: DataFrame, bits: int | None) -> DataFrame:
+    key = F.col(keys.columns[0])
+    if bits is None:
+        bits = min(max(_BITMAP_BITS, keys.count() * _BITS_PER_KEY), _MOST_BITS)
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(bits).cast("bigint")) + 1
+
+    marked = keys.select(place(key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")
+    )
+    probed = df.withColumn("_p", place(F.col(column))).withColumn("_bucket", F.bitmap_bucket_number("_p"))
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 1
+    return probed.join(F.broadcast(marked), "_bucket", "left").withColumn("_may", bit).drop("_p", "_bucket", "_bits")
+
+
+def split_members(df: DataFrame, column: str, keys: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` may be among ``keys``, and those where it is not.
+
+    Keys, the first column of ``keys``, are hashed into a bitmap of at most 16 MB, whose
+    rows of 4 KB each are broadcast, and every row is tested where it is read: wide rows
+    that are not wanted are never dealt out. Some others get through, about one in 64 and
+    more the fuller the bitmap, so an exact join follows; none that is wanted is lost.
+    Counts ``keys`` when called, unless the number of ``bits`` is given, so they should
+    be a written table.
+    """
+    tested = _may_be_member(df, column, keys, bits)
+    return tested.where("_may").drop("_may"), tested.where("not _may").drop("_may")
+
+
+def member_filter(df: DataFrame, column: str, keys: DataFrame, bits: int | None = None) -> DataFrame:
+    """The first part of :func:`split_members`."""
+    return split_members(df, column, keys, bits)[0]

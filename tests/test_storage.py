@@ -170,3 +170,33 @@ def test_fmt_size(frame, size, text):
 def test_fmt_rows(frame):
     got = frame([(1234567,), (-1,), (None,)], "n bigint").select(T.fmt_rows("n").alias("t")).collect()
     assert [r.t for r in got] == ["1,234,567", "—", "—"]
+
+
+def test_member_filter_loses_no_wanted_row_and_few_others_pass(spark):
+    from estate.plans.shapes import member_filter, split_members
+
+    keys = spark.range(0, 100_000, 37).select(F.concat(F.lit("k"), "id").alias("key"))
+    rows = spark.range(100_000).select("id", F.concat(F.lit("k"), "id").alias("name"), F.repeat(F.lit("x"), 50).alias("wide"))
+    got = member_filter(rows, "name", keys)
+    assert got.columns == rows.columns
+    ids = {r.id for r in got.select("id").collect()}
+    assert set(range(0, 100_000, 37)) <= ids and len(ids) < 2 * 100_000 / 37
+    # A full bitmap lets all through, and no keys let none through.
+    assert member_filter(rows, "name", rows.select("name"), bits=1).count() == 100_000
+    assert member_filter(rows, "name", keys.limit(0)).count() == 0
+    wanted, others = split_members(rows, "name", keys)
+    assert wanted.count() + others.count() == 100_000 and not ids & {r.id for r in others.collect()}
+
+
+def test_member_filter_keeps_wide_rows_where_they_are(spark, tmp_path):
+    from estate.plans.shapes import member_filter
+
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).write.parquet(str(tmp_path / "t"))
+    spark.range(0, 20_000, 100).write.parquet(str(tmp_path / "k"))
+    rows, keys = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "k"))
+    kept = member_filter(rows, "id", keys)
+    # Only what passes the bitmap would be dealt out by the exact join behind it.
+    assert 200 <= kept.count() < 800
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert kept.join(keys, "id").count() == 200
