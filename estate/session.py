@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +80,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Scratch made inside is removed at the end, but for what is handed to ``keep``.
+
+        with transient(spark) as keep:
+            ids = keep(many_rounds(df), "ids")
+
+    ``keep`` writes a frame as :func:`materialize` does, so nothing lazy is left behind
+    that reads what is removed. For one thread at a time.
+    """
+    before, kept = set(_MADE), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        kept.add(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _MADE if p not in before and p not in kept]:
+            discard(spark, path)
+
+
 def release(*frames: DataFrame) -> None:
     """Remove what :func:`materialize` wrote for these frames, once nothing reads them.
 

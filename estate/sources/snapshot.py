@@ -33,7 +33,8 @@ def run_sql(
     names exist only while the statement is resolved; a name that is already taken
     in the session is refused, so two callers never see each other's tables.
     """
-    kind = spark.range(1).select(classify_sql(F.lit(sql))).first()[0]
+    # A row of the plan itself: classified where the plan is made, without a job.
+    kind = spark.sql("VALUES (1)").select(classify_sql(F.lit(sql))).first()[0]
     if kind != "read" and not write:
         raise ValueError("the statement may write; pass write=True to run it")
     made: list[str] = []

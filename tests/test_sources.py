@@ -188,6 +188,48 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
 
 
+def test_a_statement_is_classified_without_a_job(spark):
+    from estate.functions.text import classify_sql
+
+    plan = spark.sql("VALUES (1)").select(classify_sql(F.lit("SELECT 1")))._jdf.queryExecution().executedPlan()
+    assert plan.nodeName() == "LocalTableScan"
+
+
+NO_LLM = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in (%r, "public_tokenizers"):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as entry
+names = set(entry.queries())
+assert "c1_top_relations" in names and not any(n.startswith("op") for n in names) and "pipeline" not in names
+assert set(entry.oracle_sql()) <= names
+print("entry stands alone")
+"""
+
+
+@pytest.mark.parametrize("gone", ["estate.llm.queries", "corpus_pipeline", "estate.llm"])
+def test_the_entry_works_without_what_is_optional(gone):
+    run = subprocess.run([sys.executable, "-c", NO_LLM % gone], cwd=ROOT, capture_output=True, text=True)
+    assert "entry stands alone" in run.stdout, run.stderr[-2000:]
+
+
+def test_scratch_made_on_the_way_is_removed(spark):
+    from estate import session
+
+    with session.transient(spark) as keep:
+        big = session.materialize(spark.range(10), "on-the-way")
+        small = keep(big.where("id < 3"), "kept")
+    assert small.count() == 3 and not any("on-the-way" in p for p in session._MADE)
+    with pytest.raises(Exception, match="(?i)not_exist|not exist|not found"):
+        big.count()
+    session.release(small)
+    with pytest.raises(Exception, match="(?i)not_exist|not exist|not found"):
+        small.count()
+
+
 def test_only_reads_run_unless_asked(spark):
     tables = {"one_row": spark.range(1)}
     assert snapshot.run_sql(spark, "SELECT id + 1 AS n FROM one_row", tables).first().n == 1
