@@ -31,8 +31,8 @@ from estate.llm.common import ship
 from estate.llm.suffix_dedup import _named as run_names
 from estate.llm.suffix_dedup import _smallest as leftmost_smallest
 from estate.llm.wordhash import chunks
-from estate.plans.shapes import hot_join
-from estate.session import materialize
+from estate.plans.shapes import hot_join, member_filter, split_members
+from estate.session import materialize, release
 
 # Fixed value of the contract: words of a window.
 LEAST = 50
@@ -83,7 +83,8 @@ def _seeds(rows: DataFrame, least: int, k: int) -> DataFrame:
         for batch in batches:
             at, found = [], []
             for row, seeds, _, _ in _parsed(batch, least, k):
-                found.append(np.unique(seeds))
+                ordered = np.sort(seeds)
+                found.append(ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))])
                 at.append(np.full(len(found[-1]), row))
             if found:
                 yield pa.RecordBatch.from_arrays(
@@ -127,6 +128,8 @@ def _phrases(rows: DataFrame, least: int, k: int) -> DataFrame:
 def _windows(rows: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """Every window of the phrases ``asked`` for, read at the first place of each."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    wanted = asked.select(F.xxhash64("place.doc_id", "place.text_id").alias("key")).distinct()
+    rows = member_filter(rows.withColumn("_doc", F.xxhash64(*_DOC)), "_doc", wanted).drop("_doc")
     lists = asked.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_id").alias("text_id")).agg(
         F.collect_list(F.struct(F.col("place.first").alias("first"), "size", "name")).alias("parts")
     )
@@ -172,7 +175,8 @@ def _known(rows: DataFrame, least: int, k: int) -> DataFrame:
         "phrase-index",
     )
     shares = index.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    windows = materialize(_windows(rows, index.join(shares, "seed", "left_semi"), least), "windows")
+    asked = materialize(index.join(shares, "seed", "left_semi").select("place", "size", "name"), "asked")
+    windows = materialize(_windows(rows, asked, least), "windows")
     shared = (
         windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.max("doc_id").alias("hi"))
         .where("ref.doc_id < hi").select("window", "ref")
@@ -192,10 +196,13 @@ def _known(rows: DataFrame, least: int, k: int) -> DataFrame:
         (F.col("first") + w["offset"]).alias("first"), F.lit(1).alias("size"),
         w["ref"]["doc_id"].alias("ref"), w["ref"]["start"].alias("at")))
     entries = F.when(F.col("doc_id") > F.col("place.doc_id"), whole).otherwise(single)
-    return (
+    found = materialize(
         met.select(*_DOC, entries.alias("entries")).where("entries is not null")
-        .groupBy(*_DOC).agg(F.array_sort(F.flatten(F.collect_set("entries"))).alias("found"))
+        .groupBy(*_DOC).agg(F.array_sort(F.flatten(F.collect_set("entries"))).alias("found")),
+        "found",
     )
+    release(common, phrases, index, asked, windows)
+    return found
 
 
 def _factors(found: list[dict], least: int) -> list[dict]:
@@ -255,7 +262,12 @@ def substring_dedup(
                     ["doc_id", "n_words", "n_removed", "kept_text", "factors"],
                 )
 
-    return rows.join(found, _DOC, "left").select("doc_id", "text", "found").mapInArrow(
+    # Only texts that lose words are dealt out; all others are parsed where they are read.
+    some, none = split_members(
+        rows.withColumn("_doc", F.xxhash64(*_DOC)), "_doc", found.select(F.xxhash64(*_DOC).alias("key")).distinct())
+    whole = some.join(found, _DOC, "left").select("doc_id", "text", "found").unionByName(
+        none.select("doc_id", "text"), allowMissingColumns=True)
+    return whole.mapInArrow(
         run,
         f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, "
         f"factors array<struct<start:int,n_words:int,ref_id:{kind},ref_start:int>>",
