@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from estate.llm.common import ship
 from estate.llm.wordhash import chunks, join, mix
-from estate.session import discard, materialize, scratch_path
+from estate.plans.shapes import member_filter
+from estate.session import discard, materialize, release, scratch_path
 
 BANDS, ROWS = 32, 5
 BATCH = 32
@@ -128,6 +129,8 @@ def _set_id(shingles: np.ndarray) -> bytes:
 def _full_sets(docs: DataFrame, needed: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``set_id`` and the full sorted ``shingles`` of the classes in ``needed``."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    # Texts of other classes are not dealt out; the join tells the few that get through.
+    rows = member_filter(rows, "_key", needed.select("doc_id"))
     texts = rows.join(needed, F.col("_key").eqNullSafe(F.col("doc_id"))).select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +282,7 @@ def near_duplicates(
     needed = materialize(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed-sets")
     # A key given twice with one text gives the same set twice.
     sets = materialize(_full_sets(docs, needed, key, text, words).dropDuplicates(["set_id"]), "sets")
+    release(shared, weights, leads, needed)
     _tidy(spark)
     best = led.groupBy("set_id").agg(F.max(F.struct("n", "lead")).alias("_best"))
     tested = materialize(best.select(F.col("_best.lead").alias("a"), F.col("set_id").alias("b")), "first-pairs")
