@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,6 +28,9 @@ from estate.llm.common import ship
 MAX_NODES = 600_000
 # Texts are taken together up to about so many bytes: their new words share one walk.
 CHUNK_BYTES = 2_000_000
+# White space next to a blank: such a text is cut only at blanks that stand alone.
+_ODD = re.compile(r" \s|\s ")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -61,6 +65,7 @@ class Bpe:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.max_nodes = max_nodes
         self.apart: dict[int, bool] = {}
+        self.sizes: dict[str, int] = {}  # of each piece with a blank before it, its tokens
         self._fresh()
 
     def _fresh(self) -> None:
@@ -158,6 +163,37 @@ class Bpe:
         find = self.known.__getitem__
         return [list(chain.from_iterable(map(find, words))) for words in split]
 
+    def count(self, texts: list[str]) -> list[int]:
+        """How many tokens each text has, without making them.
+
+        A single blank between characters that are no white space always begins a word,
+        so what stands between such blanks can be looked up whole; only pieces not seen
+        before go through the pattern and the trie.
+        """
+        if len(self.sizes) > self.max_nodes:
+            self.sizes = {}
+        plain = [not self.marks or not self.marks.search(text) for text in texts]
+        split = [
+            (_CUT.split(text) if _ODD.search(text) else text.split(" ")) if fits else None
+            for text, fits in zip(texts, plain)
+        ]
+        fresh = set().union(*[parts[1:] for parts in split if parts]).difference(self.sizes)
+        # The first piece of a text has no blank before it.
+        heads = {parts[0] for parts in split if parts}
+        found = {piece: self.words.findall(" " + piece) for piece in fresh}
+        led = {piece: self.words.findall(piece) for piece in heads}
+        if len(self.last) > self.max_nodes:
+            self._fresh()
+        self.learn(set().union(*found.values(), *led.values()).difference(self.known))
+        tokens = self.known
+        self.sizes |= {piece: sum(len(tokens[w]) for w in words) for piece, words in found.items()}
+        first = {piece: sum(len(tokens[w]) for w in words) for piece, words in led.items()}
+        size = self.sizes.__getitem__
+        return [
+            first[parts[0]] + sum(map(size, parts[1:])) if parts else len(self.encode([text])[0])
+            for text, parts in zip(texts, split)
+        ]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -195,6 +231,32 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 
 
+def lengths(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``n_tokens``, the number of token ids :func:`encode` gives every text.
+
+    Null and empty texts have none. Repeated rows are counted each. Other columns are not
+    read. An empty table gives no rows. No ids are made, so a row costs its text alone.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _worker_bpe(vocabulary, pattern)
+        for batch in batches:
+            start, size = 0, 0
+            for end, length in enumerate(pc.binary_length(batch["text"]).to_pylist(), 1):
+                size += length
+                if size >= CHUNK_BYTES or end == len(batch):
+                    n = bpe.count(batch["text"].slice(start, end - start).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].slice(start, end - start), pa.array(n, pa.int64())], ["doc_id", "n_tokens"]
+                    )
+                    start, size = end, 0
+
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint")
+
+
 def digests(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoded rows."""
     id_type = encoded.schema["doc_id"].dataType.simpleString()

@@ -47,7 +47,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_encoded(spark, sf_dir), F.size("ids"))
+    counted = bpe.lengths(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packing.pack(counted, F.col("n_tokens"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
