@@ -57,6 +57,23 @@ def test_exact_handles_awkward_rows(awkward):
     check_exact(df, [(r[0], r[1]) for r in rows])
 
 
+def test_exact_time_follows_the_length_of_a_text(docs):
+    import time
+
+    def seconds(megabytes):
+        text = prose(4, 100_000)
+        text = (text * (megabytes * 1_000_000 // len(text) + 1))[: megabytes * 1_000_000]
+        df = docs([text, text, text[:-1] + "#"])
+        began = time.monotonic()
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
+        assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1)}
+        return time.monotonic() - began
+
+    seconds(1)
+    small, large = seconds(4), seconds(16)
+    assert large < 6 * small + 5
+
+
 def test_a_name_with_two_contents_is_seen_and_replaced(docs, monkeypatch):
     real = exact_dedup._named
     # Under the first salt every block and pair gets one and the same name.

@@ -522,3 +522,57 @@ def test_windows_that_agree_in_half_a_name_are_no_match(docs):
         raise AssertionError("no pair with one seed")
     assert suffix_dedup.repeated_passages(docs(pair)).count() == 0
     assert suffix_dedup.repeated_passages(docs([pair[0]] * 2)).count() == 2
+
+
+# Secrets in large runs
+
+
+def test_large_runs_of_random_bytes_are_looked_through_and_told_as_nothing():
+    import time
+
+    rng = random.Random(6)
+
+    def seconds(megabytes, inside=b""):
+        raw = rng.randbytes(megabytes * 500_000) + inside + rng.randbytes(megabytes * 250_000)
+        text = "data: " + base64.b64encode(raw).decode()
+        began = time.monotonic()
+        found = secrets.find_all(text)[1]
+        assert all(kind < len(secrets.KINDS) for kind, _, _ in found)  # nothing opaque
+        return time.monotonic() - began, len(text), found
+
+    small, *_ = seconds(1)
+    large, length, found = seconds(8)
+    assert large < 20 * small + 2
+    # A find inside, plain or compressed in the midst of it, is still seen.
+    for inside in (b" password = abcdefgh12345678 ", gzip.compress(b" password = abcdefgh12345678 " * 3)):
+        took, length, found = seconds(4, inside)
+        assert (0, 6, length) in found
+        assert took < 10 * small + 2
+
+
+# Token counts without tokens
+
+
+def test_counts_are_those_of_the_library():
+    library = Tokenizer.from_file(VOCABULARY)
+    mine = bpe.Bpe(VOCABULARY, PATTERN)
+    rng = random.Random(12)
+    parts = [" ", "  ", "\t", "\n", " \n", "\n ", "\xa0", "\u3000", "\x1c", "\x85", "a", "I'll", "don't", "'s", "'", "x1y2", "123",
+             "é", "漢字", "\U0001f600", "...", "<|endoftext|>", "Hello", "\r\n", "\u200b", "ſ", "\u2028"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "it's  'll", "<|endoftext|>", "a <|endoftext|> b"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(4000)]
+    texts += [" ".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(2000)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert mine.count(texts) == want
+    assert mine.count(texts) == want  # from what is known now
+    mine.max_nodes = 50
+    assert [n for i in range(0, len(texts), 97) for n in mine.count(texts[i : i + 97])] == want
+
+
+def test_lengths_of_awkward_rows(awkward, nothing):
+    df, rows = awkward
+    library = Tokenizer.from_file(VOCABULARY)
+    got = sorted(((r.doc_id, r.n_tokens) for r in bpe.lengths(df, VOCABULARY, PATTERN).collect()), key=str)
+    want = [(r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
+    assert got == sorted(want, key=str)
+    assert bpe.lengths(nothing, VOCABULARY, PATTERN).count() == 0
