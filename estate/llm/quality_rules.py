@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from estate.llm.common import words_of
+from estate.plans.shapes import split_members
 from estate.session import materialize
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -24,6 +25,8 @@ WINDOW = 8
 GRAM = 3
 PRIOR = 8192
 THRESHOLD = -0.5
+# A table of n-grams with more rows, of two fixed numbers each, is joined and not broadcast.
+BROADCAST_ROWS = 2_000_000
 _MILLION = 1_000_000
 
 
@@ -97,14 +100,19 @@ def _grams(docs: DataFrame, buckets: int | None) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int | None, prior: int) -> DataFrame:
     """``_gram`` and ``_ratio``, the log ratio in millionths, of every n-gram in ``docs``.
 
-    ``trusted`` names the trusted rows by key. Both counts cover every document.
+    ``trusted`` names the trusted rows by key. Both counts cover every document, in one
+    pass: a text whose key a bitmap of the trusted ones does not know is counted where it
+    is read; the others, trusted but for a few, are told apart by an exact join, dealt out
+    alike at every size of the labels.
     """
-    known = trusted.select(F.col(key).alias("_key")).distinct().withColumn("_trusted", F.lit(1))
-    flagged = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known, "_key", "left")
-    flagged = flagged.select(
-        F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("_trusted"), words_of(F.col("_text")).alias("_words")
-    )
-    grams = _grams(flagged, buckets).where("_gram is not null")
+    known = materialize(trusted.select(F.col(key).alias("_key")).distinct(), "trusted-keys")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    some, none = split_members(texts, "_key", known)
+    flags = known.withColumn("_trusted", F.lit(1).cast("bigint")).hint("merge")
+    flagged = some.join(flags, "_key", "left").select("_text", F.coalesce("_trusted", F.lit(0).cast("bigint")).alias("_trusted"))
+    whole = flagged.unionByName(none.select("_text", F.lit(0).cast("bigint").alias("_trusted")))
+    words = whole.select("_trusted", words_of(F.col("_text")).alias("_words"))
+    grams = _grams(words, buckets).where("_gram is not null")
     counted = materialize(grams.groupBy("_gram").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good")), "ngrams")
     p = F.col("_raw") / counted.agg(F.sum("_raw")).scalar()
     ratio = F.log((F.col("_good") + prior * p) / ((counted.agg(F.sum("_good")).scalar() + prior) * p))
@@ -139,9 +147,10 @@ def quality_rules(
     # The row number tells repeated rows apart. It also keeps filters on the verdict above
     # this point; pushed below, they would compute all of the counts once more for each use.
     counts = counts.withColumn("_row", F.monotonically_increasing_id())
-    # The table of three-character n-grams is bounded by the alphabet; the other side has a
-    # row for every character of the corpus and must not be dealt out.
-    step = _grams(counts, buckets).join(F.broadcast(ratios), "_gram", "left")
+    # There is a row on this side for every character of the corpus, which must not be dealt
+    # out while the other side, as with any one alphabet, is small; its rows are counted.
+    small = ratios.count() <= BROADCAST_ROWS
+    step = _grams(counts, buckets).join(F.broadcast(ratios) if small else ratios, "_gram", "left")
     step = step.groupBy(*[c for c in counts.columns if c != "_words"]).agg(
         F.sum("_ratio").alias("_sum"), F.count("_gram").alias("_n")
     )
