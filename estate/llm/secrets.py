@@ -18,7 +18,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -47,8 +48,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 _SAME = bytes.maketrans(b"-_", b"+/")
 # The line after a run that goes on with it: nothing else stands on it.
 _NEXT = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<,)]))")
-# How gzip, bz2, xz and zlib begin, written in base64.
-_PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFo|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+# How gzip, bz2, xz and zlib begin.
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 # Finds, runs and escapes are ASCII; no find has fewer characters.
 _READABLE = re.compile(rb"[\x09\x0a\x0d\x20-\x7e]{16}")
 # All that finds, base64 runs and escapes consist of: what a decoded character can become
@@ -144,7 +145,7 @@ class _Full(Exception):
 _STEP = 64
 
 
-def _unpacker(data: bytes):
+def _unpacker(data: bytes | memoryview):
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
     if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
@@ -156,7 +157,7 @@ def _unpacker(data: bytes):
     return None
 
 
-def _inflate(data: bytes, room: int) -> bytes | None:
+def _inflate(data: bytes | memoryview, room: int) -> bytes | None:
     """What compressed bytes unpack to, all members of them, as far as they are sound;
     None if they are not compressed."""
     out, size = [], 0
@@ -172,7 +173,7 @@ def _inflate(data: bytes, room: int) -> bytes | None:
         except (zlib.error, OSError, lzma.LZMAError, EOFError):
             break
         # Members may be filled up with zeros.
-        data = (unpack.unused_data + data[at:]).lstrip(b"\0") if unpack.eof else b""
+        data = (unpack.unused_data + bytes(data[at:])).lstrip(b"\0") if unpack.eof else b""
     return b"".join(out) if size else None
 
 
@@ -186,14 +187,27 @@ def _decoded(run: str) -> bytes:
         return b""
 
 
-def _unpacked(run: str, room: int) -> str | None:
-    """The text in a base64 run, through any compression inside it; None without any
-    that a find, a run or an escape could stand in."""
-    data, seen = _decoded(run), set()
-    while (plain := _inflate(data, room)) is not None and data not in seen:
+def _text_of(data: bytes | memoryview, plain: bytes | None, room: int) -> str | None:
+    """The text in decoded bytes, of which ``plain`` has been unpacked, through any further
+    compression; None without any that a find, a run or an escape could stand in."""
+    seen = set()
+    while plain is not None and data not in seen:
         seen.add(data)
         data = plain
-    return data.decode("utf-8", "replace") if _READABLE.search(data) else None
+        plain = _inflate(data, room)
+    return bytes(data).decode("utf-8", "replace") if _READABLE.search(data) else None
+
+
+def _unpacked(run: str, room: int) -> str | None:
+    """The text in a base64 run, through any compression inside it."""
+    data = _decoded(run)
+    return _text_of(data, _inflate(data, room), room)
+
+
+def _unpacked_at(data: memoryview, room: int) -> str | None:
+    """The text of compressed bytes; None if they are not, as they are read elsewhere then."""
+    plain = _inflate(data, room)
+    return None if plain is None else _text_of(data, plain, room)
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -216,13 +230,16 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
             joined = end
 
 
-def _readings(run: str) -> Iterator[str]:
+def _readings(run: str) -> Iterator[Callable[[int], str | None]]:
     """The run from its first four characters on, as what it is glued to may shift it,
-    and from wherever something compressed may begin."""
+    and from wherever in the bytes of one of those four something compressed may begin.
+    Such a place is read where it stands: nothing is decoded or copied again for it."""
+    for start in range(4):
+        yield partial(_unpacked, run[start:])
     for start in range(4):
-        yield run[start:]
-    for m in _PACKED.finditer(run, 4):
-        yield run[m.start() :]
+        data = memoryview(_decoded(run[start:]))
+        for m in _PACKED.finditer(data, 1):
+            yield partial(_unpacked_at, data[m.start() :])
 
 
 def _parts(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -261,7 +278,7 @@ def _inner(layer: Layer, room: dict[tuple[int, int], int], seen: set[bytes]) ->
             if room[outer] < 0:
                 break
             try:
-                text = _unpacked(reading, room[outer])
+                text = reading(room[outer])
             except _Full:
                 room[outer] = -1
                 yield outer
