@@ -34,7 +34,16 @@ def _named(salt: int, *parts: str) -> str:
 
 
 def _bytes_of(docs: DataFrame, text: str, *keep) -> DataFrame:
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bin"))
+    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
+
+
+def _bound(expression: str) -> str:
+    """An expression over ``_bin``, bound to the bytes of the row.
+
+    As a plain column it would be put in as the expression it comes from, and every
+    block would turn the whole text into bytes once more.
+    """
+    return f"element_at(transform(array(_data), _bin -> {expression}), 1)"
 
 
 def _blocks(size: int) -> str:
@@ -73,14 +82,14 @@ def _collision(docs: DataFrame, text: str, size: int, salt: int) -> bool:
     """Whether some name of this salt stands for two different contents."""
     data = _bytes_of(docs, text)
     block = (
-        data.select(F.expr(f"explode(transform({_blocks(size)}, i -> {_block('i', size)}))").alias("_block"))
+        data.select(F.explode(F.expr(_bound(f"transform({_blocks(size)}, i -> {_block('i', size)})"))).alias("_block"))
         .select(F.expr(_named(salt, "_block")).alias("_n"), "_block")
         .groupBy("_n.a", "_n.b", "_block").agg(F.lit(1))
         .groupBy("a", "b").count().where("count > 1").select("a", "b")
     )
     pair = (
-        data.where(F.octet_length("_bin") > size)
-        .select(F.expr(f"explode({_tree(size, salt, True)}.pairs)").alias("_p")).select("_p.*")
+        data.where(F.octet_length("_data") > size)
+        .select(F.explode(F.expr(_bound(f"{_tree(size, salt, True)}.pairs"))).alias("_p")).select("_p.*")
         .groupBy("level", "a", "b", "la", "lb", "ra", "rb").agg(F.lit(1))
         .groupBy("level", "a", "b").count().where("count > 1").select("a", "b")
     )
@@ -103,9 +112,9 @@ def exact_dedup(
     named = _bytes_of(docs, text, F.col(key).alias("doc_id")).select(
         "doc_id",
         F.monotonically_increasing_id().alias("_row"),
-        F.octet_length("_bin").alias("_bytes"),
-        F.expr(f"{_tree(block_bytes, salt, False)}.at[0]").alias("_name"),
-        F.sha2("_bin", 256).alias("text_sha256"),
+        F.octet_length("_data").alias("_bytes"),
+        F.expr(_bound(f"{_tree(block_bytes, salt, False)}.at[0]")).alias("_name"),
+        F.sha2("_data", 256).alias("text_sha256"),
     ).select("doc_id", "_row", "_bytes", F.col("_name.a").alias("_a"), F.col("_name.b").alias("_b"), "text_sha256")
     ids = materialize(named, "block-names")
     # Only groups of two and more go into the join, so it is small, and salted for hot groups.
