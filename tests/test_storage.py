@@ -88,6 +88,20 @@ def test_hot_join_equals_plain_join(spark):
         assert a == b, how
 
 
+def test_hot_join_repeats_only_what_is_not_broadcast(spark):
+    big = spark.range(4000).select((F.col("id") % 50).alias("k"), "id")
+    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    plan = lambda: hot_join(big, small, ["k"], "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Generate" in plan()
+        assert hot_join(big, small, ["k"], "left").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pages_cover_everything_once(spark):
     df = spark.range(10)
     seen = []
