@@ -266,8 +266,12 @@ def policy_report(policies: DataFrame, roles: DataFrame) -> DataFrame:
     exploded = policies.select(
         "relation_id", "policy_name", "command_code", F.explode_outer("role_ids").alias("role_id")
     )
-    named = hot_join(exploded, roles.select("role_id", "role"), ["role_id"], "left",
+    # Policies without roles have no name to look for, and would all meet on the null key.
+    given = exploded.where(F.col("role_id").isNotNull())
+    named = hot_join(given, roles.select("role_id", "role"), ["role_id"], "left",
                      by=["relation_id", "policy_name"])
+    bare = exploded.where(F.col("role_id").isNull()).withColumn("role", F.lit(None).cast(roles.schema["role"].dataType))
+    named = named.unionByName(bare)
     names = F.array_sort(F.collect_set("role"))
     return (
         named.groupBy("relation_id", "policy_name", "command_code")

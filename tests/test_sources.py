@@ -163,6 +163,18 @@ def test_lineage_over_several_views(frame, rows):
     assert rows(D.view_lineage(edges)) == [(2, 1, 1), (3, 1, 1), (3, 2, 1)]
 
 
+def test_policies_without_roles_are_not_joined(spark, frame, rows):
+    policies = frame([(1, "p", "r", [1, 2, 1]), (1, "p", "r", None), (2, "q", "*", []), (3, "x", "a", [9]), (3, "x", "a", [None])],
+                     "relation_id bigint, policy_name string, command_code string, role_ids array<bigint>")
+    roles = frame([(1, "b"), (2, "a"), (None, "never")], "role_id bigint, role string")
+    report = D.policy_report(policies, roles)
+    got = {(r.relation_id, r.policy_name, r.command): r.roles for r in report.collect()}
+    assert got == {(1, "p", "SELECT"): ["a", "b"], (2, "q", "ALL"): ["public"], (3, "x", "INSERT"): ["public"]}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    # Rows without a role come beside the join.
+    assert plan.index("Union") < plan.index("Join ")
+
+
 def plan_text(df):
     return df._jdf.queryExecution().toString()
 
