@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estate.functions import text as T
-from estate.plans.shapes import hot_join
+from estate.plans.shapes import hot_join, split_members
+from estate.session import materialize
 
 KINDS = ("user", "group", "role")
 
@@ -84,16 +86,29 @@ def grant_plan(
     pairs are what the request asks for. ``action`` is grant, already_held,
     create_user_and_grant, error or invalid, with a reason for the last two.
     """
-    pairs = requests.select(
-        "request_id", "engine", F.explode(F.array_distinct("roles")).alias("role"), "grantees"
-    ).select("request_id", "engine", "role", F.explode(F.array_distinct("grantees")).alias("grantee"))
+    # Names meet their kinds while a request is one row per name, and its pairs are made
+    # after that, so that no join by name moves them.
+    roles, grantees = F.array_distinct("roles"), F.array_distinct("grantees")
+    named = requests.withColumn("_row", F.monotonically_increasing_id()).select(
+        "request_id", "engine", "_row", F.size(roles).alias("_roles"),
+        F.posexplode(F.concat(roles, grantees)).alias("_pos", "name"),
+    )
     kinds = principals.groupBy("name").agg(F.min("kind").alias("_kind"))
-    by_role = kinds.select(F.col("name").alias("role"), F.col("_kind").alias("role_kind"))
-    by_target = kinds.select(F.col("name").alias("grantee"), F.col("_kind").alias("grantee_kind"))
-    in_force = held.select("role", "grantee", F.lit(True).alias("_held"))
-    joined = hot_join(pairs, by_role, ["role"], "left", by=["request_id", "grantee"])
-    joined = hot_join(joined, by_target, ["grantee"], "left", by=["request_id", "role"])
-    joined = joined.join(in_force, ["role", "grantee"], "left")
+    named = hot_join(named, kinds, ["name"], "left", by=["_row", "_pos"])
+    is_role = F.col("_pos") < F.col("_roles")
+    role = F.when(is_role, F.struct(F.col("name").alias("role"), F.col("_kind").alias("role_kind")))
+    pairs = (
+        named.withColumn("_of", F.collect_list(role).over(Window.partitionBy("_row"))).where(~is_role)
+        .select("request_id", "engine", F.explode("_of").alias("_r"), F.col("name").alias("grantee"),
+                F.col("_kind").alias("grantee_kind"))
+        .select("request_id", "engine", "_r.*", "grantee", "grantee_kind")
+    )
+    # Only pairs that may be in force are dealt out for the join that tells it.
+    pair = F.xxhash64("role", "grantee").alias("_pair")
+    in_force = materialize(held.select("role", "grantee"), "in-force")
+    some, none = split_members(pairs.withColumn("_pair", pair), "_pair", in_force.select(pair))
+    marked = some.join(in_force.withColumn("_held", F.lit(True)), ["role", "grantee"], "left")
+    joined = marked.unionByName(none.withColumn("_held", F.lit(None).cast("boolean")))
     absent = F.col("grantee_kind").isNull()
     target_kind = F.when(absent, F.lit("user")).otherwise(F.col("grantee_kind"))
     refused = _kind_rules(F.col("role_kind"), target_kind, F.col("engine") != "redshift")

@@ -1,5 +1,6 @@
 """Grants, principals, orphans and their edges on hand-sized frames."""
 
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -89,6 +90,28 @@ def test_membership_plan(frame):
     assert {r.action for r in strict.where("grantee = 'new'").collect()} == {"error"}
 
 
+def test_membership_pairs_are_not_moved_by_joins_on_names(spark, frame):
+    schema = "request_id int, engine string, roles array<string>, grantees array<string>"
+    requests = frame([(1, "postgresql", ["r", "r", None], ["bob", "new"]), (1, "postgresql", ["r"], ["bob"]),
+                      (None, None, ["r"], []), (3, "redshift", None, ["bob"])], schema)
+    principals = frame([("r", "role"), ("bob", "user")], "name string, kind string")
+    held = frame([("r", "bob"), ("r", "bob"), (None, "bob")], "role string, grantee string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = N.grant_plan(requests, principals, held, create_missing_users=True)
+        got = Counter((r.request_id, r.role, r.grantee, r.action) for r in plan.collect())
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(1, "r", "bob", "already_held"): 4, (1, "r", "new", "create_user_and_grant"): 1,
+                   (1, None, "bob", "error"): 1, (1, None, "new", "error"): 1}
+    by_name = [n for n, line in enumerate(lines) if "Join LeftOuter" in line and "name" in line]
+    pairs = [n for n, line in enumerate(lines) if "Generate explode(_of" in line]
+    # A plan is printed from its top: pairs are made above the joins on names.
+    assert by_name and pairs and min(pairs) < min(by_name)
+
+
 def test_applied_plan_has_nothing_left(frame):
     principals = frame([("r", "role"), ("bob", "user")], "name string, kind string")
     requests = frame([(1, "postgresql", ["r"], ["bob"])],
