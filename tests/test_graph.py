@@ -208,3 +208,18 @@ def test_a_group_most_roles_belong_to_is_split_among_tasks(spark, frame):
 def test_privileges_of_nobody(frame):
     held = R.effective_privileges(frame([], HOLDER), frame([("schema", "s", "a", "USAGE", "x", False)], GRANT))
     assert held.count() == 0
+
+
+def test_rounds_leave_no_hot_role_to_one_task(frame, monkeypatch):
+    from estate.plans import closure as C
+
+    plans = []
+    monkeypatch.setattr(C, "_fresh", lambda paths, known, of=C._fresh: plans.append(
+        paths._jdf.queryExecution().optimizedPlan().toString()) or of(paths, known))
+    edges = [(f"m{i}", "hub", i % 2 == 0) for i in range(200)] + [("hub", "top", True), ("top", "all", True)]
+    for limit, hint in ((10, "strategy=merge"), (1000, "strategy=broadcast")):
+        plans.clear()
+        monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+        got = as_dict(closure(frame(edges, EDGE), "role", "member", "inherit"))
+        assert got == brute([(b, a, f) for a, b, f in edges])
+        assert plans and hint in plans[0]
