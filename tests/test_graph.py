@@ -223,3 +223,17 @@ def test_rounds_leave_no_hot_role_to_one_task(frame, monkeypatch):
         got = as_dict(closure(frame(edges, EDGE), "role", "member", "inherit"))
         assert got == brute([(b, a, f) for a, b, f in edges])
         assert plans and hint in plans[0]
+
+
+def test_reach_is_grouped_once_for_privileges(frame, rows):
+    edges = frame([("u", "g", True), ("g", "top", True)], EDGE)
+    roles = frame([("u", True), ("g", False)], "role string, can_login boolean")
+    acl = frame([("schema", "s", "top", "USAGE")], "scope string, object_name string, grantee string, privilege string")
+    held = R.effective_privileges(R.privilege_closure(roles, R.ancestors(edges), public=False), acl)
+    assert rows(held, "role", "via") == [("g", "top"), ("u", "top")]
+    assert not [f for f in held.inputFiles() if "round-pairs" in f]
+    relations = frame([], "target string, schema_name string, owner string, relkind string")
+    namespaces = frame([], "target string, schema_name string, owner string")
+    report = R.describe_roles(roles, edges, acl, relations, namespaces)
+    assert report.where("section = 'privileges'").count() == 2
+    assert not [f for f in report.inputFiles() if "round-pairs" in f]
