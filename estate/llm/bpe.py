@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -28,6 +29,8 @@ from estate.llm.common import ship
 MAX_NODES = 600_000
 # Texts are taken together up to about so many bytes: their new words share one walk.
 CHUNK_BYTES = 2_000_000
+# So many ids are spelt out and decoded together.
+CHUNK_IDS = 1_000_000
 # White space next to a blank: such a text is cut only at blanks that stand alone.
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -257,23 +260,37 @@ def lengths(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint")
 
 
+def _joined(table: pa.Array, ids: pa.Array, places: np.ndarray) -> Iterator[memoryview]:
+    """The entries of ``table`` for the ids from each place to the next, as one run of bytes."""
+    taken = table.take(ids)
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)[places].tolist()
+    data = memoryview(taken.buffers()[2] or b"")
+    for a, b in zip(ends, ends[1:]):
+        yield data[a:b]
+
+
 def digests(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoded rows."""
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker_bpe(vocabulary, pattern)
-        digits = {i: str(i) for i in bpe.token}
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+        every = range(max(bpe.token, default=0) + 1)
+        digits = pa.array([b"%d," % i for i in every], pa.large_binary())
+        tokens = pa.array([bpe.token.get(i, b"") for i in every], pa.large_binary())
         for batch in batches:
-            n, coded, plain = [], [], []
-            for value in batch["ids"]:
-                ids = value.values.to_pylist()
-                n.append(len(ids))
-                coded.append(sha(",".join(map(digits.__getitem__, ids))))
-                plain.append(sha(bpe.decode(ids)))
+            ids, ends = batch["ids"].values, batch["ids"].offsets.to_numpy()
+            coded, plain, start = [], [], 0
+            while start < len(batch):
+                # Texts together up to about so many ids, one at least.
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_IDS, side="right")) - 1)
+                part, places = ids.slice(ends[start], ends[end] - ends[start]), ends[start : end + 1] - ends[start]
+                coded += [hashlib.sha256(run[:-1]).hexdigest() for run in _joined(digits, part, places)]
+                plain += [hashlib.sha256(str(run, "utf-8", "replace").encode("utf-8")).hexdigest()
+                          for run in _joined(tokens, part, places)]
+                start = end
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
+                [batch["doc_id"], pa.array(np.diff(ends), pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -122,6 +123,22 @@ def test_bpe_matches_the_library(library, nodes):
         assert [own.decode(ids) for ids in got] == library.decode_batch(want, skip_special_tokens=False)
 
 
+def test_bpe_digests_in_pieces_of_a_batch(docs, spark):
+    import inspect
+
+    texts = ["one two three", "", None, "a \U0001f600 é", "<|endoftext|>, x"] * 3
+    coded = bpe.encode(docs(texts).coalesce(1), VOCABULARY, PATTERN).orderBy("doc_id")
+    broken = coded.withColumn("ids", F.expr("if(doc_id = 0, array(0, 255, 200, 7), ids)"))
+    own, sha = bpe.Bpe(VOCABULARY, PATTERN), lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(r.doc_id, len(r.ids), sha(",".join(map(str, r.ids))), sha(own.decode(r.ids))) for r in broken.collect()]
+    assert sorted(map(tuple, bpe.digests(broken, VOCABULARY, PATTERN).collect())) == want
+    # Ids are not turned into Python numbers one by one.
+    assert "to_pylist" not in inspect.getsource(bpe.digests)
+    table = pa.array([b"%d," % i for i in range(5)], pa.large_binary())
+    runs = bpe._joined(table, pa.array([1, 2, 4, 0], pa.int32()).slice(1), np.array([0, 0, 2, 3]))
+    assert [bytes(r) for r in runs] == [b"", b"2,4,", b"0,"]
+
+
 def test_bpe_digests(docs, library, awkward, nothing):
     texts = awkward_texts()[:60] + [None]
     got = bpe.digests(bpe.encode(docs(texts), VOCABULARY, PATTERN), VOCABULARY, PATTERN).orderBy("doc_id").collect()
