@@ -4,8 +4,10 @@ Documents with the same shingle set are one class; everything after works on cla
 Signatures are banded. In every bucket the members are first compared with one that
 leads it: each class with the leader of most of its buckets, then, where these did not
 link them, with the other leaders. Of what the pairs link, components are formed; then
-all pairs of a bucket whose ends are still in different components are compared, so no
-link between components is left out and none inside one is paid for.
+members of one leader that are still in different components are compared, so no link
+between components is left out and none inside one is paid for. Not all pairs of them
+are looked at: two that are similar differ from their leader in much the same shingles,
+so an exact prefix filter on these differences tells which pairs can be.
 
 A comparison looks at the signatures batch by batch. After each batch, the posterior of
 the similarity, given the matches so far and a flat prior, tells whether the threshold
@@ -22,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate.llm.common import ship
@@ -33,9 +35,11 @@ from estate.session import discard, materialize, release, scratch_path
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-# In buckets with more open classes than CROWD, shingles that at most FEW of the crowded
-# classes have bound what a pair shares. Any values give the same links.
-CROWD, FEW = 64, 1000
+# So many entries of a batch are made together.
+ENTRIES = 1_000_000
+# Shingles that one in so many members differ in are ordered by their number. Any value
+# gives the same links.
+USUAL = 16
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _MASKS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _SEEDS.astype(np.uint32)
 
@@ -225,6 +229,137 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _entries(rows: DataFrame, percent: int) -> DataFrame:
+    """The prefixes of what members differ in from their leader, a row for each shingle.
+
+    ``rows`` has ``set_id``, ``label``, ``outside``, sizes ``n`` and ``led_n``, ``name`` (a
+    number for the leader), ``differ`` and the leader's ``usual`` shingles with ``counts``.
+    Rare ones come first; ``key`` names shingle and leader, ``pos`` is the place and ``r``
+    the size of the difference.
+    """
+    far, near = 100 - percent, 100 + percent
+    columns = ["set_id", "label", "outside", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, places, sizes, made = [], [], [], [], 0
+            own, n, led_n = (batch[c].to_pylist() for c in ("outside", "n", "led_n"))
+            names = batch["name"].to_numpy().view(np.uint64)
+
+            def out() -> pa.RecordBatch:
+                fields = batch.select(columns).take(pa.array(np.concatenate(at)))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), *fields.columns,
+                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                    ["key", *columns, "r", "pos"],
+                )
+
+            for row, (differ, usual, counts) in enumerate(zip(batch["differ"], batch["usual"], batch["counts"])):
+                rest, common = differ.values.to_numpy(), usual.values.to_numpy()
+                weight = np.ones(len(rest), np.int64)
+                if len(common):
+                    order = np.argsort(common)
+                    found = np.minimum(np.searchsorted(common, rest, sorter=order), len(common) - 1)
+                    hits = common[order[found]] == rest
+                    weight[hits] = counts.values.to_numpy()[order[found[hits]]]
+                pos = np.arange(len(rest))
+                # A similar set differs from this one in so many shingles at most.
+                fits = pos * percent <= n[row] * far
+                if not own[row]:
+                    # Similar to one that is not so to the leader: see _across.
+                    fits &= pos * (2 * near) < near * len(rest) + far * (n[row] - led_n[row])
+                pos = pos[fits]
+                rest = rest[np.lexsort((rest, weight))[: len(pos)]]
+                at.append(np.full(len(pos), row))
+                keys.append(mix(rest.view(np.uint64) ^ names[row]))
+                places.append(pos.astype(np.int32))
+                sizes.append(np.full(len(pos), len(weight), np.int32))
+                made += len(pos)
+                if made >= ENTRIES:
+                    yield out()
+                    keys, at, places, sizes, made = [], [], [], [], 0
+            if made:
+                yield out()
+
+    return rows.select("set_id", "label", "outside", "n", "led_n", "name", "differ", "usual", "counts").mapInArrow(
+        run, "key bigint, set_id binary, label binary, outside boolean, n int, r int, pos int"
+    )
+
+
+def _across(led: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader in different components that can be similar.
+
+    Let R be what a member and its leader L differ in. Two members x and y differ in what
+    Rx and Ry differ in: in at most q (|x| + |y|) shingles where they are similar, with
+    q = (100 - percent) / (100 + percent). So (q (|x| + |y|) + |Rx| - |Ry|) / 2 shingles of
+    Rx at most are not in Ry, half of that sum where Rx is not the larger one. One of the
+    two, y, is in another component than L, so |Ry| > q (|y| + |L|), as pairs with L have
+    all been compared; less than (|Rx| + q (|x| - |L|)) / 2 of Rx are then not in Ry, and
+    some are. In any order, the first shingle in both stands within these bounds.
+
+    Rare ones of a leader's members come first, which is what a member was changed to in
+    places of its own, and no other has them, however many the members are.
+    """
+    label = F.coalesce("label", "set_id").alias("label")
+    labelled = led.select("lead", "set_id").join(found, "set_id", "left").select("lead", "set_id", label)
+    mixed = (
+        labelled.groupBy("lead").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))
+        .where("_x != _y").select("lead")
+    )
+    leads = mixed.join(found.select(F.col("set_id").alias("lead"), F.col("label").alias("_of")), "lead", "left")
+    outside = (F.col("label") != F.coalesce("_of", "lead")).alias("outside")
+    members = labelled.join(leads, "lead").select("lead", "set_id", "label", outside)
+    its = sets.select(F.col("set_id").alias("lead"), F.col("shingles").alias("_its"))
+    differ = F.concat(F.array_except("shingles", "_its"), F.array_except("_its", "shingles"))
+    differences = materialize(
+        members.join(sets, "set_id").join(its, "lead").select(
+            F.xxhash64("lead").alias("name"), "set_id", "label", "outside", F.size("shingles").alias("n"),
+            F.size("_its").alias("led_n"), differ.alias("differ"),
+        ),
+        "differences",
+    )
+    # Shingles that one in USUAL members or more differ in: few for each leader.
+    counted = differences.select("name", F.explode("differ").alias("_s")).groupBy("name", "_s").agg(F.count("*").alias("_n"))
+    sizes = differences.groupBy("name").agg(F.count("*").alias("_members"))
+    usual = (
+        counted.where("_n > 1").join(sizes, "name").where(F.col("_n") * USUAL >= F.col("_members"))
+        .groupBy("name").agg(F.collect_list(F.struct("_s", "_n")).alias("_usual"))
+        .select("name", F.col("_usual._s").alias("usual"), F.col("_usual._n").alias("counts"))
+    )
+    none = F.array().cast("array<bigint>")
+    rows = differences.join(usual, "name", "left").withColumns(
+        {"usual": F.coalesce("usual", none), "counts": F.coalesce("counts", none)}
+    )
+    entries = materialize(_entries(rows, percent), "entries")
+    # Where the smaller difference has its first one in common.
+    short = F.expr(f"{2 * percent}L * pos <= {100 - percent}L * n")
+    # Most keys are of one member alone, and are told where they are read.
+    shared = materialize(
+        entries.groupBy("key")
+        .agg(F.bool_or(short).alias("_s"), F.bool_or("outside").alias("_o"), F.min("label").alias("_x"), F.max("label").alias("_y"))
+        .where("_s and _o and _x != _y").select("key"),
+        "shared-entries",
+    )
+    rest = member_filter(entries, "key", shared)
+    x, y = rest.where(short).alias("x"), rest.alias("y")
+
+    def first(one: str, other: str) -> Column:
+        """Whether no more of one difference than two similar sets allow come before."""
+        return F.expr(
+            f"{2 * (100 + percent)}L * {one}.pos"
+            f" <= {100 - percent}L * ({one}.n + {other}.n) + {100 + percent}L * ({one}.r - {other}.r)"
+        )
+
+    pairs = x.join(
+        y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+        & F.expr("x.r <= y.r and (x.outside or y.outside)")
+        & F.expr(f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)") & first("x", "y") & first("y", "x"),
+    )
+    return pairs.select(
+        F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")
+    ).distinct()
+
+
 def _tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of what is finished: it does when the driver's
     garbage is collected, which may else come long after."""
@@ -309,39 +444,8 @@ def near_duplicates(
     found, pairs = more(apart, found, "second-pairs")
     tested = materialize(tested.unionByName(pairs), "tested")
 
-    # All pairs of a bucket whose ends are still in different components.
-    labelled = members.join(found, "set_id", "left").select("bucket", "set_id", F.coalesce("label", "set_id").alias("label"))
-    mixed = (
-        labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))
-        .where("_x != _y").select("bucket")
-    )
-    open_members = materialize(labelled.join(mixed, "bucket"), "open-members")
-    # What a pair of a crowded bucket can have in common: of the shingles that many
-    # crowded classes have, all of the smaller side; of those that few have, the ones
-    # both do. This bound holds for any limit of few, and spares nearly all pairs of a
-    # large group of copies that were changed in different places.
-    crowded = open_members.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
-    busy = materialize(open_members.join(crowded, "bucket").select("set_id").distinct(), "crowded")
-    shingles = sets.join(busy, "set_id").select("set_id", F.explode("shingles").alias("_s"))
-    few = shingles.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW)
-    scarce = shingles.join(few, "_s").groupBy("set_id").agg(F.collect_list("_s").alias("few"))
-    bounded = busy.join(scarce, "set_id", "left").select(
-        "set_id", F.coalesce("few", F.array().cast("array<bigint>")).alias("few")
-    )
-    sizes = classes.select("set_id", F.col("n_shingles").alias("n"))
-    hopeful = materialize(open_members.join(sizes, "set_id").join(bounded, "set_id", "left"), "hopeful-members")
-    x, y = hopeful.alias("x"), hopeful.alias("y")
-
-    def enough(shared):
-        return shared * 100 >= (F.col("x.n") + F.col("y.n") - shared) * percent
-
-    of_many = F.least(F.expr("x.n - size(x.few)"), F.expr("y.n - size(y.few)"))
-    known = F.col("x.few").isNotNull() & F.col("y.few").isNotNull()
-    across = x.join(
-        y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id"))
-        & (F.col("x.label") != F.col("y.label")) & enough(F.least("x.n", "y.n"))
-        & (~known | enough(of_many) | enough(of_many + F.size(F.array_intersect("x.few", "y.few")))),
-    ).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    # Pairs of members of one leader whose ends are still in different components.
+    across = _across(led, found, sets, percent)
     tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found, _ = more(across, found, "third-pairs")
 

@@ -426,6 +426,26 @@ def test_a_large_group_of_near_copies(docs):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(list(enumerate(texts)), 2, 80)
 
 
+@pytest.mark.parametrize("words, share", [(2, 0.09), (5, 0.05)])
+def test_pairs_of_a_large_group_grow_with_its_members(docs, monkeypatch, words, share):
+    """Copies changed in places of their own, most of them too far from every other."""
+    rng = random.Random(5)
+    base = prose(78, 100)
+    texts = [base] + [changed(base, share, rng) for _ in range(300)]
+    texts += [changed(texts[n], 0.01, rng) for n in range(1, 100)]  # and some that link to these alone
+    made = {}
+
+    def counted(df, label, write=near_dup.materialize):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    got = near_dup.near_duplicates(docs(texts), words=words)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(list(enumerate(texts)), words, 80)
+    assert made["third-pairs"] < len(texts)
+
+
 def test_near_duplicates_handle_awkward_rows(awkward, nothing):
     df, rows = awkward
     got = near_dup.near_duplicates(df, words=2)
