@@ -6,6 +6,9 @@ it. So the distinct words are put into a trie, and a depth-first walk gives ever
 node its last token once, however many words run through it. The encoding of a word is
 read backwards along the last tokens. Words seen stay known to the worker until the
 trie reaches a bound; then it starts afresh, which changes no result.
+
+Where only the number of tokens is wanted, no trie is made: words of one length that were
+not seen before are merged together, the first lowest pair of each in every round.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ MAX_NODES = 600_000
 CHUNK_BYTES = 2_000_000
 # So many ids are spelt out and decoded together.
 CHUNK_IDS = 1_000_000
+# Words up to so many bytes are counted by rounds, longer ones by the trie.
+ROUND_BYTES = 64
+# The rank of a pair that is no merge; with a place below ROUND_BYTES it fits 63 bits.
+_NO_MERGE = 1 << 40
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # White space next to a blank: such a text is cut only at blanks that stand alone.
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -44,6 +52,40 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+class _Pairs:
+    """Ranks of merges by their parts, for arrays of them: a hash table with open places."""
+
+    def __init__(self, rank: dict[tuple[int, int], int], merged: list[int]):
+        self.merged = np.array(merged, np.int64)
+        bits = max(4, (4 * len(rank)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # Probes go past the end of the places that a key can be hashed to.
+        self.keys = np.full((1 << bits) + len(rank) + 1, -1, np.int64)
+        self.ranks = np.full(len(self.keys), _NO_MERGE, np.int64)
+        keys = np.array([a << 20 | b for a, b in rank], np.int64)
+        for key, at, n in zip(keys.tolist(), self._places(keys).tolist(), rank.values()):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.ranks[at] = key, n
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 20 | right
+        wanted = keys.ravel()
+        at = self._places(wanted)
+        there = self.keys[at]
+        out = np.where(there == wanted, self.ranks[at], _NO_MERGE)
+        on = np.flatnonzero((there != wanted) & (there >= 0))
+        while len(on):
+            at[on] += 1
+            there = self.keys[at[on]]
+            out[on] = np.where(there == wanted[on], self.ranks[at[on]], _NO_MERGE)
+            on = on[(there != wanted[on]) & (there >= 0)]
+        return out.reshape(keys.shape)
+
+
 class Bpe:
     """A vocabulary file of merges with its trie. ``pattern`` parts a text into words."""
 
@@ -69,6 +111,9 @@ class Bpe:
         self.max_nodes = max_nodes
         self.apart: dict[int, bool] = {}
         self.sizes: dict[str, int] = {}  # of each piece with a blank before it, its tokens
+        self.counts: dict[str, int] = {}  # of each word, its tokens
+        self.pairs = _Pairs(self.rank, [self.ids[self.token[a] + self.token[b]] for a, b in self.rank])
+        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         self._fresh()
 
     def _fresh(self) -> None:
@@ -166,15 +211,66 @@ class Bpe:
         find = self.known.__getitem__
         return [list(chain.from_iterable(map(find, words))) for words in split]
 
+    def _merge(self, words: list[bytes]) -> np.ndarray:
+        """How many tokens each word has; they have two bytes or more, all as many.
+
+        In every round each word with a merge left takes one, so all of them stay equally
+        long and one that is done has as many tokens as there are rows.
+        """
+        tokens = self.of_byte[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).T]
+        ranks = self.pairs.find(tokens[:-1], tokens[1:])
+        out, which = np.ones(len(words), np.int64), np.arange(len(words))
+        while len(ranks):
+            row = np.arange(len(ranks))[:, None]
+            low = (ranks * ROUND_BYTES + row).min(axis=0)
+            alive = low < _NO_MERGE * ROUND_BYTES
+            out[which[~alive]] = len(tokens)
+            if not alive.any():
+                break
+            if not alive.all():
+                which, low, tokens, ranks = which[alive], low[alive], tokens[:, alive], ranks[:, alive]
+            rank, at = low // ROUND_BYTES, low % ROUND_BYTES
+            column = np.arange(len(at))
+            tokens = np.where(row <= at, tokens[:-1], tokens[1:])
+            tokens[at, column] = self.pairs.merged[rank]
+            ranks = np.where(row[:-1] < at, ranks[:-1], ranks[1:])
+            for n, has in ((at - 1, at > 0), (at, at < len(tokens) - 1)):
+                n, c = n[has], column[has]
+                ranks[n, c] = self.pairs.find(tokens[n, c], tokens[n + 1, c])
+        return out
+
+    def _count_words(self, words: set[str]) -> None:
+        """Makes the number of tokens of each word known."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        long = set()
+        for word in words.difference(self.counts):
+            data = word.encode("utf-8")
+            if len(data) > ROUND_BYTES:
+                long.add(word)
+            elif len(data) > 1:
+                by_size.setdefault(len(data), []).append((word, data))
+            else:
+                self.counts[word] = len(data)
+        for group in by_size.values():
+            names, data = zip(*group)
+            self.counts.update(zip(names, self._merge(list(data)).tolist()))
+        if long:
+            if len(self.last) > self.max_nodes:
+                self._fresh()
+            self.learn(long.difference(self.known))
+            self.counts.update((word, len(self.known[word])) for word in long)
+
     def count(self, texts: list[str]) -> list[int]:
         """How many tokens each text has, without making them.
 
         A single blank between characters that are no white space always begins a word,
         so what stands between such blanks can be looked up whole; only pieces not seen
-        before go through the pattern and the trie.
+        before go through the pattern and the merges.
         """
         if len(self.sizes) > self.max_nodes:
             self.sizes = {}
+        if len(self.counts) > self.max_nodes:
+            self.counts = {}
         plain = [not self.marks or not self.marks.search(text) for text in texts]
         split = [
             (_CUT.split(text) if _ODD.search(text) else text.split(" ")) if fits else None
@@ -185,12 +281,10 @@ class Bpe:
         heads = {parts[0] for parts in split if parts}
         found = {piece: self.words.findall(" " + piece) for piece in fresh}
         led = {piece: self.words.findall(piece) for piece in heads}
-        if len(self.last) > self.max_nodes:
-            self._fresh()
-        self.learn(set().union(*found.values(), *led.values()).difference(self.known))
-        tokens = self.known
-        self.sizes |= {piece: sum(len(tokens[w]) for w in words) for piece, words in found.items()}
-        first = {piece: sum(len(tokens[w]) for w in words) for piece, words in led.items()}
+        self._count_words(set(chain.from_iterable(chain(found.values(), led.values()))))
+        tokens = self.counts
+        self.sizes |= {piece: sum([tokens[w] for w in words]) for piece, words in found.items()}
+        first = {piece: sum([tokens[w] for w in words]) for piece, words in led.items()}
         size = self.sizes.__getitem__
         return [
             first[parts[0]] + sum(map(size, parts[1:])) if parts else len(self.encode([text])[0])

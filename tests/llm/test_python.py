@@ -590,6 +590,18 @@ def test_large_runs_of_random_bytes_are_looked_through_and_told_as_nothing():
 # Token counts without tokens
 
 
+def test_new_words_are_counted_without_a_trie():
+    mine, other = bpe.Bpe(VOCABULARY, PATTERN), bpe.Bpe(VOCABULARY, PATTERN)
+    rng = random.Random(13)
+    letters = "eeeettaaooiinnsshhrrdlcumwfgypbvkjxqzé漢0'.-"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(200)) for _ in range(20)]
+    assert mine.count(texts) == [len(ids) for ids in other.encode(texts)]
+    assert len(mine.last) == 1
+    # Long ones still go through it.
+    texts = ["".join(rng.choices("abcdefgh", k=n)) for n in (63, 64, 65, 66, 500)] + ["a" * 63, "a" * 64, "ab" * 40]
+    assert mine.count(texts) == [len(ids) for ids in other.encode(texts)]
+
+
 def test_counts_are_those_of_the_library():
     library = Tokenizer.from_file(VOCABULARY)
     mine = bpe.Bpe(VOCABULARY, PATTERN)
