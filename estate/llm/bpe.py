@@ -40,7 +40,7 @@ ROUND_BYTES = 64
 _NO_MERGE = 1 << 40
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # White space next to a blank: such a text is cut only at blanks that stand alone.
-_ODD = re.compile(r" \s|\s ")
+_ODD = re.compile(r" (?:\s|(?<=\s ))")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -271,25 +271,56 @@ class Bpe:
             self.sizes = {}
         if len(self.counts) > self.max_nodes:
             self.counts = {}
-        plain = [not self.marks or not self.marks.search(text) for text in texts]
-        split = [
-            (_CUT.split(text) if _ODD.search(text) else text.split(" ")) if fits else None
-            for text, fits in zip(texts, plain)
-        ]
-        fresh = set().union(*[parts[1:] for parts in split if parts]).difference(self.sizes)
+        out = np.zeros(len(texts), np.int64)
+        plain, cut = [], []
+        for row, text in enumerate(texts):
+            if self.marks and self.marks.search(text):
+                out[row] = len(self.encode([text])[0])
+            elif _ODD.search(text):
+                cut.append((row, _CUT.split(text)))
+            else:
+                plain.append(row)
+        # Equal pieces are told by Arrow, so that each is looked up once.
+        parts = pc.split_pattern(pa.array([texts[row] for row in plain], pa.large_string()), " ")
+        many = np.diff(parts.offsets.to_numpy())
+        heads = [texts[row].split(" ", 1)[0] for row in plain]
+        named = parts.flatten().dictionary_encode()
+        pieces = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = set(pieces).union(*[own[1:] for _, own in cut]).difference(self.sizes)
         # The first piece of a text has no blank before it.
-        heads = {parts[0] for parts in split if parts}
-        found = {piece: self.words.findall(" " + piece) for piece in fresh}
-        led = {piece: self.words.findall(piece) for piece in heads}
-        self._count_words(set(chain.from_iterable(chain(found.values(), led.values()))))
-        tokens = self.counts
-        self.sizes |= {piece: sum([tokens[w] for w in words]) for piece, words in found.items()}
-        first = {piece: sum([tokens[w] for w in words]) for piece, words in led.items()}
+        first = self._sizes(list({*heads, *(own[0] for _, own in cut)}), fresh)
         size = self.sizes.__getitem__
-        return [
-            first[parts[0]] + sum(map(size, parts[1:])) if parts else len(self.encode([text])[0])
-            for text, parts in zip(texts, split)
-        ]
+        if plain:
+            sizes = np.fromiter(map(size, pieces), np.int64, len(pieces))[named.indices.to_numpy()]
+            start = np.cumsum(many) - many  # every text has a piece
+            sizes[start] = [first[piece] for piece in heads]
+            out[plain] = np.add.reduceat(sizes, start)
+        for row, own in cut:
+            out[row] = first[own[0]] + sum(map(size, own[1:]))
+        return out.tolist()
+
+    def _sizes(self, heads: list[str], fresh: set[str]) -> dict[str, int]:
+        """The tokens of pieces without a blank before them; those of fresh ones, with a
+        blank, are made known.
+
+        Pieces without white space are parted all together: the blanks between them begin
+        a word each, and there are no others.
+        """
+        bare = [piece for piece in fresh if piece and piece.isprintable() and " " not in piece]
+        rest = list(fresh.difference(bare))
+        words = self.words.findall(" " + " ".join(bare)) if bare else []
+        begin = [n for n, word in enumerate(words) if word[0] == " "]
+        heads = [piece for piece in heads if piece]
+        for text in chain((" " + piece for piece in rest), heads):
+            begin.append(len(words))
+            words += self.words.findall(text)
+        if not words:
+            return {"": 0}
+        self._count_words(set(words))
+        tokens = np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
+        found = np.add.reduceat(tokens, begin).tolist()
+        self.sizes.update(zip(chain(bare, rest), found))
+        return {"": 0, **dict(zip(heads, found[len(fresh) :]))}
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", errors="replace")
