@@ -88,10 +88,12 @@ def _grams(docs: DataFrame, buckets: int | None) -> DataFrame:
     others = [c for c in docs.columns if c != "_words"]
     if buckets is None:
         flat = F.when(F.size("_words") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
-        # A look-ahead steps through the text once, at any length of a word.
-        runs = F.regexp_extract_all(flat, F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))
-        name = F.when(F.col("_run").isNotNull(), F.xxhash64("_run"))
-        return docs.select(*others, F.explode_outer(runs).alias("_run")).select(*others, name.alias("_gram"))
+        # Characters next to each other, from arrays of them that begin one later each.
+        chars = docs.select(*others, F.split(flat, "").alias("_chars"))
+        shifted = [F.slice("_chars", n + 1, F.size("_chars") - (GRAM - 1)) for n in range(GRAM)]
+        parts = [f"_c{n}" for n in range(GRAM)]
+        name = F.when(F.col(parts[0]).isNotNull(), F.xxhash64(*parts))
+        return chars.select(*others, F.inline_outer(F.arrays_zip(*shifted)).alias(*parts)).select(*others, name.alias("_gram"))
     ends = (f"xxhash64(substring(_w, 1, {GRAM}))", f"xxhash64(substring(_w, -{GRAM}, {GRAM}), 1)")
     both = F.array(*[F.expr(f"if(_w is null, null, pmod({h}, {buckets}L))") for h in ends])
     return docs.select(*others, F.explode_outer("_words").alias("_w")).select(*others, F.explode(both).alias("_gram"))
