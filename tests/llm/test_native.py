@@ -234,6 +234,29 @@ def test_all_n_grams_of_a_text_are_scored(spark, docs):
     assert all(r.kept for r in got[:12]) and not any(r.kept for r in got[12:])
 
 
+def test_n_grams_are_cut_by_place_and_summed_by_row_number(spark, docs):
+    texts = [prose(s, 40) for s in range(4)] + ["\U0001f600\U0001f601 é漢 " * 12, "x", "", None, "a\tb\n\U0001f600"]
+    trusted, prior = {0, 1, 4}, 50
+
+    def grams(text):
+        words = WORD.findall(text or "")
+        flat = f" {' '.join(words)} " if words else ""
+        return [flat[i : i + 3] for i in range(len(flat) - 2)]
+
+    raw = Counter(g for t in texts for g in grams(t))
+    good = Counter(g for i in trusted for g in grams(texts[i]))
+    r, g = sum(raw.values()), sum(good.values())
+    ratio = {b: round(1e6 * math.log((good[b] + prior * n / r) / ((g + prior) * n / r))) for b, n in raw.items()}
+    judged = quality_rules.quality_rules(docs(texts), spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), prior=prior)
+    for row, text in zip(judged.orderBy("doc_id").collect(), texts):
+        each = [ratio[b] for b in grams(text)]
+        assert row.log_ratio == (pytest.approx(sum(each) / len(each) / 1e6, abs=2e-6) if each else None)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"HashAggregate\(keys=\[(.*?)\], functions", plan)
+    assert keys and all(re.fullmatch(r"_row#\d+L", k) for k in keys)
+    assert "inline" not in plan and "Generate explode(sequence(" in plan
+
+
 def test_all_trusted_rows_count(spark):
     labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "if(id < 100, 1, 0) as toxic")
     assert quality_rules.trusted_rows(labels.unionByName(labels)).count() == 20_400
